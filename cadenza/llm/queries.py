@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann, decontaminate as decontamination, lm, neardup, packing, privacy, toxicity, warc
+from . import ann, decontaminate as decontamination, lm, neardup, packing, privacy, suffix, toxicity, warc
 from .common import shared_path, table
 
 
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.digest(suffix.deduplicate(table(spark, sf_dir, "documents")))
+
+
 def op2_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw, deduplicated = shared_path(spark, "warc-raw"), shared_path(spark, "warc-deduplicated")
     warc.write_responses(table(spark, sf_dir, "pages"), raw)
