@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann, decontaminate as decontamination, lm, neardup, packing, privacy, suffix, toxicity, warc
+from . import ann, decontaminate as decontamination, lm, neardup, packing, passages, privacy, suffix, toxicity, warc
 from .common import shared_path, table
 
 
@@ -25,6 +25,10 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontamination.judge(decontamination.find_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op4_compact_window_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_disclosure_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return privacy.report(table(spark, sf_dir, "documents"))
 
