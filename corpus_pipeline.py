@@ -1,16 +1,54 @@
-"""The corpus pipeline: stages that filter, deduplicate, clean and pack documents."""
+"""The corpus pipeline: documents are judged, deduplicated, decontaminated, cleaned and packed.
+
+Each stage works on all that the one before it kept and is written before the
+next reads it. All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from cadenza.llm import decontaminate, neardup, packing, privacy, toxicity
 from cadenza.llm.common import table, written
 
-STAGES: list = []
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the factorization machine scores under its threshold."""
+    return toxicity.reject(docs, table(spark, sf_dir, "labels"))
+
+
+def keep_one_of_like(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates by shingles, that with the smallest id."""
+    return neardup.keep_one(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which benchmark windows cover less than a twentieth of the words."""
+    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def protect_privacy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with personal data and terms that reveal it generalised."""
+    return privacy.sanitise(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in as few sequences as best fit finds."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("ngram_jaccard_join", keep_one_of_like),
+    ("benchmark_decontamination", drop_contaminated),
+    ("pii", protect_privacy),
+    ("best_fit_packing", pack_sequences),
+]
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows; every stage is written to the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), name)
