@@ -24,7 +24,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import shared_path, written
+from .common import picked, shared_path, written
 
 CENTRES, PART = 16, 2
 #: Most vectors that centres are fitted on.
@@ -117,7 +117,7 @@ def scan(codec: Codec, codes: np.ndarray, query: np.ndarray) -> np.ndarray:
 
 
 def valid_vectors(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    v = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
+    v = picked(df, id_col, vec_col).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     return v.filter(F.col("id").isNotNull() & F.col("v").isNotNull() & fine)
 

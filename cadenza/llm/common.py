@@ -9,12 +9,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 U64 = np.uint64
 CHUNK_BYTES = 2 << 20
@@ -24,6 +24,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def position(docs: DataFrame, name: str) -> int:
+    """The place of a column by its exact name, else by its name in any case."""
+    names = docs.columns
+    return names.index(name) if name in names else [n.lower() for n in names].index(name.lower())
+
+
+def picked(docs: DataFrame, *names: str) -> DataFrame:
+    """Only the named columns, whatever other columns are called."""
+    renamed = docs.toDF(*[f"_{i}" for i in range(len(docs.columns))])
+    return renamed.select(*[F.col(f"_{position(docs, n)}").alias(n) for n in names])
+
+
+def shielded(docs: DataFrame, work: Callable[[DataFrame], DataFrame], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """work on rows whose columns are doc_id, text and numbers, and that returns these columns; then under their names again."""
+    names = [f"_{i}" for i in range(len(docs.columns))]
+    names[position(docs, id_col)], names[position(docs, text_col)] = "doc_id", "text"
+    return work(docs.toDF(*names)).toDF(*docs.columns)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share; a temporary one only where none is set (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import chunks, run_hashes, span_hashes, text_buffer, words
+from .common import chunks, picked, run_hashes, shielded, span_hashes, text_buffer, words
 
 WINDOW = 13
 #: Most benchmark windows that are broadcast (about 150 bytes each).
@@ -50,7 +50,7 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, id_col: str =
                 item, n, h, text = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(item, pa.string()), pa.array(n, pa.int32()), pa.array(h, pa.int64()), pa.array(text, pa.binary())], ["item", "n", "hash", "words"])
 
-    return benchmark.select(F.col(id_col).cast("string"), F.col(text_col).cast("string")).mapInArrow(build, "item string, n int, hash long, words binary").distinct()
+    return picked(benchmark, id_col, text_col).select(F.col(id_col).cast("string"), F.col(text_col).cast("string")).mapInArrow(build, "item string, n int, hash long, words binary").distinct()
 
 
 class _Windows:
@@ -108,7 +108,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_co
     for r in found.collect():  # within broadcast_windows
         by_length.setdefault(r.n, []).append(r)
     shared = spark.sparkContext.broadcast({n: _Windows(rows) for n, rows in sorted(by_length.items())})
-    base = docs.select(*dict.fromkeys([id_col, text_col, *keep]))
+    base = picked(docs, *dict.fromkeys([id_col, text_col, *keep]))
     at = base.columns.index(text_col)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,7 +136,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_co
 def _find_hits_shuffled(docs: DataFrame, windows: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...]) -> DataFrame:
     """The same by a shuffled join on window hashes, for a benchmark too large to broadcast."""
     lengths = [r.n for r in windows.select("n").distinct().collect()]  # at most as many as words in a window
-    base = docs.select(*dict.fromkeys([id_col, text_col, *keep])).withColumn("_row", F.sha2(F.to_json(F.struct(id_col, text_col)), 256))
+    base = picked(docs, *dict.fromkeys([id_col, text_col, *keep])).withColumn("_row", F.sha2(F.to_json(F.struct(id_col, text_col)), 256))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -192,7 +192,11 @@ def judge(hits: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, remove: str = "documents", text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """docs without contaminated documents (remove="documents"), or with hit words cut out of every text (remove="spans")."""
-    columns = docs.columns
+    return shielded(docs, lambda d: _decontaminated(d, benchmark, window, remove), id_col, text_col)
+
+
+def _decontaminated(docs: DataFrame, benchmark: DataFrame, window: int, remove: str) -> DataFrame:
+    id_col, text_col, columns = "doc_id", "text", docs.columns
     hits = find_hits(docs, benchmark, window, id_col, text_col, tuple(columns))
     n_hit = F.aggregate(F.zip_with("hit_to", "hit_from", lambda b, a: b - a), F.lit(0).cast("long"), lambda s, x: s + x)
     if remove == "documents":

@@ -22,7 +22,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import written
+from .common import picked, shielded, written
 
 KINDS = ("email", "ip", "card", "phone", "term")
 _LOCAL = r"[A-Za-z0-9._%+-]"
@@ -94,7 +94,7 @@ def _entity(span: Column) -> Column:
 
 def revealing_terms(docs: DataFrame, text_col: str = "text", support: int = SUPPORT, share: float = SHARE, bits: float = BITS) -> DataFrame:
     """term: those whose occurrence tells of one entity more than the thresholds allow."""
-    text = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    text = picked(docs, text_col).select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     found = text.select("text", F.xxhash64("text").alias("t"), base_spans(F.col("text")).alias("s")).filter(F.size("s") > 0)
     around = lambda s: F.array_distinct(F.concat(F.regexp_extract_all(F.substring(F.col("text"), F.greatest(s["start"] - NEAR + 1, F.lit(1)), F.least(s["start"], F.lit(NEAR))), F.lit(WORD), F.lit(0)), F.regexp_extract_all(F.substring(F.col("text"), s["end"] + 1, F.lit(NEAR)), F.lit(WORD), F.lit(0))))
     mentions = found.select("t", F.explode(F.transform("s", lambda s: F.struct(_entity(s).alias("entity"), around(s).alias("terms")))).alias("m")).select("t", "m.*")
@@ -135,14 +135,19 @@ def joined(spans: Column) -> Column:
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Counts of base spans, their digest, and all spans."""
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}")
-    spans = all_spans(docs.select(id_col, text_col), id_col, text_col)
+    spans = all_spans(picked(docs, id_col, text_col), id_col, text_col)
     return spans.select(id_col, *map(count, range(4)), F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.array_sort(F.concat("base", "added"))).alias("spans"))
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with each span of the text generalised to the name of its kind; a null text stays null."""
     names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
-    found = all_spans(docs, id_col, text_col)
+    return shielded(docs, _sanitised, id_col, text_col)
+
+
+def _sanitised(docs: DataFrame) -> DataFrame:
+    text_col = "text"
+    found = all_spans(docs)
     text = F.col(text_col)
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
 

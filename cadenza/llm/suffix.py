@@ -26,7 +26,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from .common import U64, Powers, chunks, longs, mix, text_buffer, written
+from .common import U64, Powers, chunks, longs, mix, picked, text_buffer, written
 
 LENGTH, GRAM = 100, 32
 #: Bytes of a shard.
@@ -252,7 +252,7 @@ _INNER = 1 << 62
 
 def repeated(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs: its id, text and places, the packed (start, number) runs of strings that also start earlier."""
-    base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("d"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    base = picked(docs, id_col, text_col).select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("d"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     distinct = base.groupBy("d").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).count() == 0
     ids = ["d"] if distinct else ["d", "k"]
     if not distinct:

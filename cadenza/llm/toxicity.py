@@ -21,12 +21,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import U64, chunks, span_hashes, text_buffer, words, written
+from .common import U64, chunks, picked, shielded, span_hashes, text_buffer, words, written
 
 #: Most labelled rows that the machine is fitted on.
 SAMPLE = 20_000
-#: Most terms that become features, and the likelihood ratio that one needs at least.
-FEATURES, LEAST_RATIO = 4096, 12.0
+#: Most terms that become features, and the likelihood ratio that one needs at least (more where many terms are tried).
+FEATURES, LEAST_RATIO = 2048, 12.0
 PREFIXES = (4, 5, 6)
 THRESHOLD = 0.7
 _HASH_BITS, _FILTER_BITS = 40, 22
@@ -105,9 +105,9 @@ def held_out(id_col: str, folds: int = 3, fold: int = 1) -> F.Column:
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Machine:
     """A machine fitted on at most sample labelled rows outside the held-out fold."""
-    known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
+    known = picked(labels, id_col, label_col).filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
     some = known.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).orderBy(F.xxhash64("_id"), "_id", "_y").limit(sample)
-    joined = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).join(F.broadcast(some), "_id").select("_y", "_text")
+    joined = picked(docs, id_col, text_col).select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).join(F.broadcast(some), "_id").select("_y", "_text")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -131,7 +131,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     a, c, share = F.col("a"), F.col("c"), pos / n
     gain = lambda x, expected: F.when(x > 0, x * F.log(x / expected)).otherwise(0.0)
     ratio = 2 * (gain(a, c * share) + gain(c - a, c * (1 - share)) + gain(pos - a, (n - c) * share) + gain(n - pos - c + a, (n - c) * (1 - share)))
-    best = counted.filter("c >= 3").withColumn("ratio", ratio).filter(F.col("ratio") >= LEAST_RATIO).orderBy(F.desc("ratio"), "h").limit(FEATURES).select("h")
+    counted = written(counted.filter("c >= 3"), "toxicity-terms")
+    least = max(LEAST_RATIO, 2 * np.log(max(1, counted.count())))
+    best = counted.withColumn("ratio", ratio).filter(F.col("ratio") >= float(least)).orderBy(F.desc("ratio"), "h").limit(FEATURES).select("h")
     hashes = np.sort(np.array([r.h for r in best.collect()], np.int64))
     machine = Machine(hashes=hashes)
     if not len(hashes):
@@ -166,4 +168,5 @@ def score(docs: DataFrame, machine: Machine, text_col: str = "text") -> DataFram
 
 def reject(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs without those that score threshold or more."""
-    return score(docs, train(docs, labels)).filter(F.col("toxicity_score") < threshold).select(docs.columns)
+    machine = train(docs, labels)
+    return shielded(docs, lambda d: score(d, machine).filter(F.col("toxicity_score") < threshold).drop("toxicity_score"))

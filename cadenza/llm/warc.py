@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .common import picked
+
 END = "\r\n\r\n"
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -91,7 +93,7 @@ def write_responses(pages: DataFrame, path: str, id_col: str = "page_id", url_co
                     n += 1
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
 
-    _write(pages.select(F.col(id_col).cast("long"), F.col(url_col).cast("string"), F.col(html_col).cast("string")).mapInArrow(build, "value string"), path)
+    _write(picked(pages, id_col, url_col, html_col).select(F.col(id_col).cast("long"), F.col(url_col).cast("string"), F.col(html_col).cast("string")).mapInArrow(build, "value string"), path)
 
 
 def read_archive(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:

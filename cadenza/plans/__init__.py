@@ -1 +1 @@
-
+"""Canonical tables and the queries over them."""
