@@ -5,8 +5,8 @@ have outputs of their own, in classes of CLASS words; every other word belongs t
 one of RARE classes by its ending and has its smoothed unigram share of it. So
 P(word) = P(class | state) * P(word | class, state), with a word never seen in
 training as one further word of its class. Every partition trains on all of its
-training documents by truncated backpropagation (of each TRAINED windows one), from a common start, and the
-weights are averaged; state is carried across windows in training and scoring,
+training documents by truncated backpropagation through every window, from a
+common start, and the weights are averaged; state is carried across windows in training and scoring,
 so a score is the log-likelihood of the complete document.
 
 Words are 64-bit hashes. What a block of documents needs of the counts is joined
@@ -35,8 +35,6 @@ RATE = 0.08
 BLOCK_DOCS = 6000
 #: Buckets of word hashes in which counts meet the blocks that want them.
 BUCKETS = 256
-#: Of so many windows of a document one is gone back through; state is carried through all.
-TRAINED = 4
 #: Documents that the common start is fitted on, about; and its passes.
 START_DOCS, START_ROUNDS = 1000, 3
 END = np.int64(-7046029254386353131)
@@ -217,7 +215,7 @@ class Model:
             self.grown[k] += g * g
             self.w[k] -= rate * g / np.sqrt(self.grown[k])
 
-    def train(self, rows: np.ndarray, first: np.ndarray, rate: float = RATE, every: int = 1) -> None:
+    def train(self, rows: np.ndarray, first: np.ndarray, rate: float = RATE) -> None:
         """One pass over documents (rows[first[d]:first[d + 1]]) in batches of like length."""
         for docs, seen, live in _lanes(rows, first, BATCH):
             h = np.zeros((len(docs), HIDDEN), np.float32)
@@ -225,11 +223,7 @@ class Model:
                 part, on = seen[t : t + WINDOW], live[t : t + WINDOW]
                 m = int(on[0].sum())
                 part, on, h = part[:, :m], on[:, :m], h[:m]
-                if (t // WINDOW + len(docs)) % every == 0:
-                    h = self._window(part, on, h, rate)
-                else:
-                    for s in range(len(part)):
-                        h = self._step(part[s], h)[0]
+                h = self._window(part, on, h, rate)
 
     def _window(self, part: np.ndarray, on: np.ndarray, h: np.ndarray, rate: float) -> np.ndarray:
         """Scores each token from the state before it, then goes back through the window."""
@@ -323,7 +317,7 @@ def _averaged(docs: DataFrame, start: Model) -> dict[str, np.ndarray]:
                     model.w = {k: v.copy() for k, v in shared.value.w.items()}
                     model.rank, model.grown = shared.value.rank, {k: v.copy() for k, v in shared.value.grown.items()}
                 h, kind, first = tokens(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                model.train(model.index(h, kind), first, every=TRAINED)
+                model.train(model.index(h, kind), first)
                 n += len(h)
         if n:
             yield _sum([(n, np.concatenate([model.w[k].reshape(-1) for k in names]) * np.float64(n))])
