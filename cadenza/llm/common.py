@@ -44,12 +44,14 @@ def shielded(docs: DataFrame, work: Callable[[DataFrame], DataFrame], id_col: st
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where none is set (tests)."""
+    """The folder that all executors share; a temporary one only where none is set and Spark is local (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         context = spark.sparkContext._jsc.sc()
         root = context.getCheckpointDir().get() if context.getCheckpointDir().isDefined() else None
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="cadenza-shared-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
@@ -67,6 +69,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: The most keys that split_join broadcasts.
+HOT_KEYS = 1000
+
+
+def split_join(left: DataFrame, right: DataFrame, key: str, total: int) -> DataFrame:
+    """left join right on key, where right has a row for a key and n, the number of left's rows of it; total is that of all.
+
+    Keys of more than a HOT_KEYS-th of all rows, which are at most HOT_KEYS, are
+    broadcast, so that the rows of such a key stay where they are; all others are shuffled.
+    """
+    bound = max(HOT_KEYS, -(-total // HOT_KEYS))
+    hot = right.filter(F.col("n") > bound)
+    cold = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(right.filter(F.col("n") <= bound), key)
+    return left.join(F.broadcast(hot), key).unionByName(cold)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
