@@ -9,7 +9,12 @@ their bytes form shards: a suffix array by prefix doubling with refinement of
 unsorted groups only (Larsson and Sadakane), common prefixes in text order
 (Kasai's rule, by its irreducible values), and groups of suffixes that share
 LENGTH bytes. A key too large for a shard is cut into several, and each shard's
-strings are searched in the sorted strings of those before it.
+strings are searched in the sorted strings of those before it. The rows of a key
+beyond KEY_BYTES (a line that starts a third of all documents) are dealt to shards
+of their own, each sorted by a task of its own; what each shard found first is
+merged across shards by a shuffle of 128-bit string hashes.
+
+Segments are equal if their keys and 64-bit content hashes, 128 bits together, are.
 
 Defined cases: a null text is empty; texts shorter than LENGTH lose nothing; rows
 of the same id are ordered by a hash of their text; rows that repeat id and text
@@ -31,7 +36,9 @@ from .common import U64, Powers, chunks, longs, mix, picked, text_buffer, writte
 LENGTH, GRAM = 100, 32
 #: Bytes of a shard.
 SHARD_BYTES = 1 << 20
-_BYTES = Powers(0x9E3779B97F4A7C15)
+#: Bytes of a key that one task holds, and the most keys beyond it (their list is broadcast).
+KEY_BYTES, LARGE_KEYS = 8 << 20, 100_000
+_BYTES, _OTHER = Powers(0x9E3779B97F4A7C15), Powers(0xD6E8FEB86659FD93)
 _SYMBOLS = 7
 _NULL_ID = -(1 << 63)
 
@@ -211,6 +218,27 @@ class Shard:
         self.again[self.first[found & equal]] = True
 
 
+    def fingerprints(self) -> tuple[np.ndarray, np.ndarray]:
+        """Two hashes of each first string."""
+        out = []
+        for powers in (_BYTES, _OTHER):
+            up, down = powers.upto(len(self.text) + 1)
+            sums = np.zeros(len(self.text) + 1, U64)
+            np.cumsum((self.text.astype(U64) + U64(1)) * up[:-1], out=sums[1:])
+            out.append(mix((sums[self.first + self.length] - sums[self.first]) * down[self.first]).view(np.int64))
+        return out[0], out[1]
+
+    def spans(self, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Runs of marked strings: segment, start in its document, number."""
+        piece_start = np.r_[0, self.ends[:-1]]
+        edge = np.zeros(len(self.again), bool)
+        edge[piece_start[piece_start < len(self.again)]] = True
+        begin = np.flatnonzero(self.again & (edge | ~np.r_[False, self.again[:-1]]))
+        stop = np.flatnonzero(self.again & np.r_[edge[1:] | ~self.again[1:], True]) + 1
+        piece = np.searchsorted(self.ends, begin, "right")
+        return piece, begin - piece_start[piece] + starts[piece], stop - begin
+
+
 def shard_spans(keys: list, parts: list[bytes], starts: list[int], counts: list[int], length: int = LENGTH, shard_bytes: int = SHARD_BYTES) -> tuple[list[int], np.ndarray, np.ndarray]:
     """Strings that occur earlier: segment, start in its document and number of each run. Segments come by key and place."""
     shards: list[tuple[int, int]] = []
@@ -229,23 +257,35 @@ def shard_spans(keys: list, parts: list[bytes], starts: list[int], counts: list[
         for _, earlier in open_shards:
             shard.drop_known(earlier)
         open_shards.append((keys[j - 1], shard))
-        again = shard.again
-        piece_start = np.r_[0, shard.ends[:-1]]
-        edge = np.zeros(len(again), bool)
-        edge[piece_start[piece_start < len(again)]] = True
-        begin = np.flatnonzero(again & (edge | ~np.r_[False, again[:-1]]))
-        stop = np.flatnonzero(again & np.r_[edge[1:] | ~again[1:], True]) + 1
-        piece = np.searchsorted(shard.ends, begin, "right")
+        piece, begin, n = shard.spans(np.array(starts[i:j]))
         found[0].extend((piece + i).tolist())
-        found[1].append(begin - piece_start[piece] + np.array(starts[i:j])[piece])
-        found[2].append(stop - begin)
+        found[1].append(begin)
+        found[2].append(n)
     return found[0], np.concatenate(found[1]), np.concatenate(found[2])
 
 
+def _unseen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows by string hashes (the first two columns) and place, all but the first of each string; without the hashes."""
+    last: tuple | None = None
+    for b in batches:
+        if b.num_rows:
+            x, y = np.asarray(b.column(0)), np.asarray(b.column(1))
+            again = np.r_[last == (x[0], y[0]), (x[1:] == x[:-1]) & (y[1:] == y[:-1])]
+            last = (x[-1], y[-1])
+            yield pa.RecordBatch.from_arrays(b.columns[2:], b.schema.names[2:]).filter(pa.array(again))
+
+
 def _pack(start: np.ndarray, n: np.ndarray) -> np.ndarray:
     return start.astype(np.int64) << 31 | n.astype(np.int64)
 
 
+def _runs(*columns: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of rows that are equal in all columns."""
+    new = np.logical_or.reduce([np.r_[True, x[1:] != x[:-1]] for x in columns])
+    cuts = [*np.flatnonzero(new).tolist(), len(new)]
+    yield from zip(cuts[:-1], cuts[1:], strict=True)
+
+
 #: Set in a packed place where strings inside the segment may be equal.
 _INNER = 1 << 62
 
@@ -319,7 +359,13 @@ def repeated(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text
 
     dealt = cut_up.repartition("v").sortWithinPartitions(*order)
     met = written(dealt.mapInArrow(meet, f"v long, {id_kind}, place long"), "segments")
-    asked = met.filter("v is not null").groupBy(*ids).agg(F.collect_list(F.struct("v", "place")).alias("wanted"))
+    compare = met.filter("v is not null")
+    size = F.col("place").bitwiseAND(F.lit((1 << 31) - 1)) + (length - 1)
+    bound = max(KEY_BYTES, -(-(compare.agg(F.sum(size)).first()[0] or 0) // LARGE_KEYS))
+    large = compare.groupBy("v").agg(F.sum(size).alias("size")).filter(F.col("size") > bound).select("v", F.ceil(F.col("size") / SHARD_BYTES).alias("shards"))
+    shard = F.coalesce(F.pmod(F.xxhash64(*ids, "place"), F.col("shards")).cast("int"), F.lit(-1)).alias("shard")
+    compare = compare.join(F.broadcast(large), "v", "left").select("v", *ids, "place", shard)
+    asked = compare.groupBy(*ids).agg(F.collect_list(F.struct("v", "place", "shard")).alias("wanted"))
     with_text = base.dropDuplicates(ids) if not distinct else base
     sides = with_text.join(asked, ids)
 
@@ -335,22 +381,34 @@ def repeated(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text
                 start, n = place >> 31, place & ((1 << 31) - 1)
                 begin = offsets[which] + start
                 texts = [data[x : x + m].tobytes() for x, m in zip(begin.tolist(), (n + length - 1).tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(v), *(batch.column(c).take(pa.array(which)) for c in range(n_ids)), pa.array(place), pa.array(texts, pa.binary())], ["v", *ids, "place", "bytes"])
+                yield pa.RecordBatch.from_arrays([pa.array(v), flat.field("shard"), *(batch.column(c).take(pa.array(which)) for c in range(n_ids)), pa.array(place), pa.array(texts, pa.binary())], ["v", "shard", *ids, "place", "bytes"])
 
-    taken = sides.select(*ids, "text", "wanted").mapInArrow(take, f"v long, {id_kind}, place long, bytes binary")
+    taken = sides.select(*ids, "text", "wanted").mapInArrow(take, f"v long, shard int, {id_kind}, place long, bytes binary")
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Whole keys until a shard is full; a key that goes on stays together."""
+        """Whole keys until a shard is full; a key that goes on stays together, unless its rows are dealt to shards."""
         held: list[pa.RecordBatch] = []
         size = 0
 
-        def out(rows: pa.Table) -> pa.RecordBatch | None:
-            place = np.asarray(rows.column("place").combine_chunks())
-            segment, start, n = shard_spans(rows.column("v").to_pylist(), rows.column("bytes").to_pylist(), (place >> 31).tolist(), (place & ((1 << 31) - 1)).tolist(), length)
-            if not segment:
-                return None
-            picked = pa.array(segment)
-            return pa.RecordBatch.from_arrays([*(rows.column(c).combine_chunks().take(picked) for c in ids), pa.array(_pack(start, n))], [*ids, "place"])
+        def result(rows: pa.Table, which: np.ndarray, start: np.ndarray, n: np.ndarray, hashes: tuple | None = None) -> pa.RecordBatch:
+            own = pa.array(which)
+            first, second = (pa.array(h) for h in hashes) if hashes else (pa.nulls(len(which), pa.int64()),) * 2
+            return pa.RecordBatch.from_arrays([first, second, *(rows.column(c).combine_chunks().take(own) for c in ids), pa.array(_pack(start, n))], ["first", "second", *ids, "place"])
+
+        def out(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+            place, dealt = np.asarray(rows.column("place").combine_chunks()), np.asarray(rows.column("shard").combine_chunks())
+            v, start, n = np.asarray(rows.column("v").combine_chunks()), place >> 31, place & ((1 << 31) - 1)
+            for low, high in _runs(np.where(dealt < 0, np.int64(0), v), dealt):
+                part = rows.slice(low, high - low)
+                texts = part.column("bytes").to_pylist()
+                if dealt[low] < 0:
+                    yield result(part, *(np.asarray(x, np.int64) for x in shard_spans(v[low:high].tolist(), texts, start[low:high].tolist(), n[low:high].tolist(), length)))
+                    continue
+                shard = Shard(texts, n[low:high], length)
+                yield result(part, *shard.spans(start[low:high]))
+                piece = np.searchsorted(shard.ends, shard.first, "right")
+                begin = shard.first - np.r_[0, shard.ends[:-1]][piece] + start[low:high][piece]
+                yield result(part, piece, begin, np.ones(len(piece), np.int64), shard.fingerprints())
 
         for batch in batches:
             if not batch.num_rows:
@@ -358,19 +416,21 @@ def repeated(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text
             held.append(batch)
             size += batch.nbytes
             if size >= 2 * SHARD_BYTES:
-                rows = pa.Table.from_batches(held)
-                v = np.asarray(rows.column("v").combine_chunks())
-                last = int(np.searchsorted(v, v[-1]))
+                rows = pa.Table.from_batches(held).combine_chunks()
+                v, dealt = np.asarray(rows.column("v").chunk(0)), np.asarray(rows.column("shard").chunk(0))
+                last = int(np.argmax((v == v[-1]) & (dealt == dealt[-1])))
                 if last:
-                    if (spans := out(rows.slice(0, last))) is not None:
-                        yield spans
+                    yield from out(rows.slice(0, last))
                     held = rows.slice(last).combine_chunks().to_batches()
                     size = sum(b.nbytes for b in held)
-        if held and (spans := out(pa.Table.from_batches(held))) is not None:
-            yield spans
-
-    compared = taken.repartition("v").sortWithinPartitions("v", *ids, "place").mapInArrow(sort, f"{id_kind}, place long")
-    gone = met.filter("v is null").select(*ids, "place").unionByName(compared).groupBy(*ids).agg(F.collect_list("place").alias("places"))
+        if held:
+            yield from out(pa.Table.from_batches(held))
+
+    sorted_rows = taken.repartition("v", "shard").sortWithinPartitions("v", "shard", *ids, "place")
+    compared = written(sorted_rows.mapInArrow(sort, f"first long, second long, {id_kind}, place long"), "compared")
+    firsts = compared.filter("first is not null").repartition("first", "second").sortWithinPartitions("first", "second", *ids, "place")
+    merged = compared.filter("first is null").select(*ids, "place").unionByName(firsts.mapInArrow(_unseen, f"{id_kind}, place long"))
+    gone = met.filter("v is null").select(*ids, "place").unionByName(merged).groupBy(*ids).agg(F.collect_list("place").alias("places"))
     return base.join(gone, ids, "left").select(F.when(F.col("d") != _NULL_ID, F.col("d")).alias(id_col), F.col("text").alias(text_col), "places")
 
 
