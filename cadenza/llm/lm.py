@@ -4,10 +4,12 @@ The vocabulary is counted over all training tokens. The FREQUENT commonest words
 have outputs of their own, in classes of CLASS words; every other word belongs to
 one of RARE classes by its ending and has its smoothed unigram share of it. So
 P(word) = P(class | state) * P(word | class, state), with a word never seen in
-training as one further word of its class. Every partition trains on all of its
-training documents by truncated backpropagation through every window, from a
-common start, and the weights are averaged; state is carried across windows in training and scoring,
-so a score is the log-likelihood of the complete document.
+training as one further word of its class. Training documents are dealt to groups
+by a hash of id and text. Each group trains on all of its documents by truncated
+backpropagation through every window, in a fixed order and from a common start,
+and the weights of the groups are averaged: they do not depend on how Spark splits
+the input. State is carried across windows in training and scoring, so a score is
+the log-likelihood of the complete document.
 
 Words are 64-bit hashes. What a block of documents needs of the counts is joined
 by hash and gathered by block, so no table that grows is broadcast.
@@ -31,12 +33,16 @@ from .toxicity import held_out
 FREQUENT, CLASS, RARE = 512, 32, 48
 HIDDEN, WINDOW, BATCH = 16, 16, 512
 RATE = 0.08
-#: Documents in a block that is scored by one task.
-BLOCK_DOCS = 6000
-#: Buckets of word hashes in which counts meet the blocks that want them.
-BUCKETS = 256
-#: Documents that the common start is fitted on, about; and its passes.
-START_DOCS, START_ROUNDS = 1000, 3
+#: Bytes of text in a block that is scored by one task, and in a group that one model trains on, about.
+BLOCK_BYTES, GROUP_BYTES = 12 << 20, 16 << 20
+#: Buckets of word hashes in which counts meet the blocks that want them: at least, and bytes of text for each more.
+BUCKETS, BUCKET_BYTES = 256, 128 << 20
+#: Groups whose weights are added up by one task.
+FAN = 64
+#: Documents that the common start is fitted on, about; its passes; and the most bytes of each, which bound what the driver holds.
+START_DOCS, START_ROUNDS, START_BYTES = 1000, 3, 1 << 16
+#: Bytes of text between two passes of a group's training over batches of like length.
+CHUNK = 8 << 20
 END = np.int64(-7046029254386353131)
 _IN_TOKEN = np.ones(256, bool)
 _IN_TOKEN[[32, *range(9, 14)]] = False
@@ -65,14 +71,14 @@ def _tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return h, kind, first
 
 
-def _packed(h: np.ndarray, *more: np.ndarray) -> pa.RecordBatch:
+def _packed(buckets: int, h: np.ndarray, *more: np.ndarray) -> pa.RecordBatch:
     """A row for each bucket of hashes, its arrays as bytes; h is made distinct already."""
-    bucket = (h.view(U64) % U64(BUCKETS)).astype(np.int32)
+    bucket = (h.view(U64) % U64(buckets)).astype(np.int32)
     order = np.lexsort((h, bucket))
-    cuts = np.searchsorted(bucket[order], np.arange(BUCKETS + 1))
-    used = np.flatnonzero(np.diff(cuts))
-    columns = [pa.array([x[order[cuts[k] : cuts[k + 1]]].tobytes() for k in used.tolist()], pa.binary()) for x in (h, *more)]
-    return pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), *columns], ["bucket", *_PACKED[: len(columns)]])
+    cuts = np.flatnonzero(np.r_[True, np.diff(bucket[order]) != 0]) if len(h) else np.zeros(0, np.int64)
+    ends = np.r_[cuts[1:], len(h)][: len(cuts)]
+    columns = [pa.array([x[order[a:b]].tobytes() for a, b in zip(cuts.tolist(), ends.tolist(), strict=True)], pa.binary()) for x in (h, *more)]
+    return pa.RecordBatch.from_arrays([pa.array(bucket[order[cuts]]), *columns], ["bucket", *_PACKED[: len(columns)]])
 
 
 _PACKED = ("h", "c", "kind")
@@ -87,7 +93,7 @@ def _joined(column: pa.ChunkedArray | pa.Array, kind: type) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind)
 
 
-def _counted(docs: DataFrame) -> DataFrame:
+def _counted(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """bucket, h, c, kind: the counts of all tokens, added up in each task first; a row for each bucket of hashes."""
     kinds = "bucket int, h binary, c binary, kind binary"
 
@@ -104,10 +110,10 @@ def _counted(docs: DataFrame) -> DataFrame:
                     held = [_merged(*(np.concatenate(x) for x in zip(*held, strict=True)))]
                     size = len(held[0][0])
                     if size > 500_000:
-                        yield _packed(*held[0])
+                        yield _packed(buckets, *held[0])
                         held, size = [], 0
         if held:
-            yield _packed(*_merged(*(np.concatenate(x) for x in zip(*held, strict=True))))
+            yield _packed(buckets, *_merged(*(np.concatenate(x) for x in zip(*held, strict=True))))
 
     def add(t: pa.Table) -> pa.Table:
         h, c, kind = _merged(*(_joined(t.column(n), k) for n, k in zip(_PACKED, (np.int64, np.int64, np.int32), strict=True)))
@@ -302,37 +308,61 @@ def _lanes(rows: np.ndarray, first: np.ndarray, width: int) -> Iterator[tuple[np
         yield docs, seen, live
 
 
-def _averaged(docs: DataFrame, start: Model) -> dict[str, np.ndarray]:
-    """Weights after each partition trained on its documents from the same start, averaged by tokens in two steps."""
+def _averaged(docs: DataFrame, start: Model, groups: int = 1) -> dict[str, np.ndarray]:
+    """Weights after each group trained on its documents (id, text) from the same start, averaged by tokens."""
     names = list(start.w)
     shared = docs.sparkSession.sparkContext.broadcast(start)
+    group = F.pmod(F.xxhash64("id", "text"), F.lit(groups)).cast("long").alias("part")
+
+    def fresh() -> Model:
+        model = Model(shared.value.words)
+        model.w = {k: v.copy() for k, v in shared.value.w.items()}
+        model.rank, model.grown = shared.value.rank, {k: v.copy() for k, v in shared.value.grown.items()}
+        return model
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, n = None, 0
+        """Rows by group, id and text; a model trains whenever its group has filled a chunk, whatever the batches."""
+        own, model, n, held, size = None, None, 0, [], 0
+
+        def train() -> int:
+            if not held:
+                return 0
+            offsets = np.cumsum([0, *map(len, held)])
+            h, kind, first = tokens(np.frombuffer(b"".join(held), np.uint8), offsets)
+            model.train(model.index(h, kind), first)
+            return len(h)
+
+        def done() -> pa.RecordBatch:
+            return _sum(own, [(n, np.concatenate([model.w[k].reshape(-1) for k in names]) * np.float64(n))])
+
         for batch in batches:
-            offsets, data = text_buffer(batch.column(0))
-            for i, j in chunks(offsets, 8 << 20):
-                if model is None:
-                    model = Model(shared.value.words)
-                    model.w = {k: v.copy() for k, v in shared.value.w.items()}
-                    model.rank, model.grown = shared.value.rank, {k: v.copy() for k, v in shared.value.grown.items()}
-                h, kind, first = tokens(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                model.train(model.index(h, kind), first)
-                n += len(h)
-        if n:
-            yield _sum([(n, np.concatenate([model.w[k].reshape(-1) for k in names]) * np.float64(n))])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [(n, np.frombuffer(w, np.float64)) for b in batches for n, w in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
-        if got:
-            yield _sum(got)
-
-    kind = "n long, w binary"
-    trained = written(docs.mapInArrow(run, kind), "lm-weights")
-    total = trained.repartition(8).mapInArrow(add, kind).repartition(1).mapInArrow(add, kind).collect()
-    if not total:
+            for part, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if part != own or size >= CHUNK:
+                    n += train()
+                    held, size = [], 0
+                    if part != own:
+                        if own is not None:
+                            yield done()
+                        own, model, n = part, fresh(), 0
+                held.append(text.encode())
+                size += len(held[-1]) + 1
+        if own is not None:
+            n += train()
+            yield done()
+
+    def add(t: pa.Table) -> pa.Table:
+        got = sorted(zip(t.column("part").to_pylist(), t.column("n").to_pylist(), t.column("w").to_pylist(), strict=True), key=lambda x: x[0])
+        return pa.Table.from_batches([_sum(got[0][0] // FAN, [(n, np.frombuffer(w, np.float64)) for _, n, w in got])])
+
+    kind = "part long, n long, w binary"
+    dealt = docs.select(group, "text", "id").repartition(max(groups, partitions(docs.sparkSession)), "part").sortWithinPartitions("part", "id", "text").select("part", "text")
+    total = written(dealt.mapInArrow(run, kind), "lm-weights")
+    while groups > 1:
+        total, groups = total.groupBy(F.floor(F.col("part") / FAN)).applyInArrow(add, kind), -(-groups // FAN)
+    rows = total.collect()  # one
+    if not rows:
         return start.w
-    flat, out, at = np.frombuffer(total[0].w, np.float64) / total[0].n, {}, 0
+    flat, out, at = np.frombuffer(rows[0].w, np.float64) / rows[0].n, {}, 0
     for k in names:
         size = start.w[k].size
         out[k] = flat[at : at + size].reshape(start.w[k].shape).astype(np.float32)
@@ -340,36 +370,39 @@ def _averaged(docs: DataFrame, start: Model) -> dict[str, np.ndarray]:
     return out
 
 
-def _sum(parts: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
+def _sum(part: int, parts: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
     w = parts[0][1].copy()
     for _, x in parts[1:]:
         w += x
-    return pa.RecordBatch.from_arrays([pa.array([sum(n for n, _ in parts)], pa.int64()), pa.array([w.astype(np.float64).tobytes()], pa.binary())], ["n", "w"])
+    return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([sum(n for n, _ in parts)], pa.int64()), pa.array([w.astype(np.float64).tobytes()], pa.binary())], ["part", "n", "w"])
 
 
 def score(docs: DataFrame, folds: int = 5, fold: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10) of each row."""
     spark = docs.sparkSession
     every = picked(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("out", held_out("id", folds, fold))
-    training = every.filter("not out").select("text")
-    counts = written(_counted(training), "lm-counts")
+    every = every.withColumn("text", F.coalesce("text", F.lit("")))
+    training = every.filter("not out").select("id", "text")
+    size = every.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.octet_length("text").cast("long") + 40), F.lit(0)).alias("bytes")).first()
+    buckets = BUCKETS + size.bytes // BUCKET_BYTES
+    counts = written(_counted(training.select("text"), buckets), "lm-counts")
     frequent = _commonest(counts, FREQUENT)
     model = Model(frequent)
     rare_n, rare_v, n_all, v_all = np.zeros(RARE), np.zeros(RARE), 0, 0
     for r in _totals(counts, frequent):
         rare_n[r.kind], rare_v[r.kind] = r.rare_n, r.rare_v
         n_all, v_all = n_all + r.n, v_all + r.v
-    rows = docs.count()
-    part = F.pmod(F.xxhash64("id"), F.lit(max(1, rows // START_DOCS)))
-    some = [r.text or "" for r in every.filter(~F.col("out") & (part == 0)).select("text").limit(2 * START_DOCS).collect()]
+    sampled = F.pmod(F.xxhash64("id", "text"), F.lit(max(1, size.rows // START_DOCS))) == 0
+    some = [r.text for r in training.filter(sampled & (F.octet_length("text") <= START_BYTES)).orderBy("id", "text").limit(2 * START_DOCS).collect()]
     if some:
         offsets, data = text_buffer(pa.array(some))
         h, kind, first = tokens(data, offsets)
         for _ in range(START_ROUNDS):
             model.train(model.index(h, kind), first)
-        model.w = _averaged(training, model)
-    blocks = max(1, -(-rows // BLOCK_DOCS))
-    dealt = every.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int")).repartition(max(blocks, partitions(spark)), "block")
+        model.w = _averaged(training, model, max(1, -(-size.bytes // GROUP_BYTES)))
+    blocks = max(1, -(-size.bytes // BLOCK_BYTES))
+    # rows that repeat are told apart by their place in the input: a score does not depend on its block
+    dealt = every.withColumn("block", F.pmod(F.xxhash64("id", "text") + F.monotonically_increasing_id(), F.lit(blocks)).cast("int")).repartition(max(blocks, partitions(spark)), "block")
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[int, list[np.ndarray]] = {}
@@ -382,7 +415,7 @@ def score(docs: DataFrame, folds: int = 5, fold: int = 1, id_col: str = "doc_id"
                 for b in np.unique(own[i:j]).tolist():
                     seen.setdefault(b, []).append(np.unique(h[block == b]))
         for b, lists in seen.items():
-            rows = _packed(np.unique(np.concatenate(lists)))
+            rows = _packed(buckets, np.unique(np.concatenate(lists)))
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(np.full(rows.num_rows, b, np.int32)), rows.column(1)], ["bucket", "block", "h"])
 
     def looked_up(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:

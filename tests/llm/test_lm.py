@@ -16,6 +16,14 @@ def test_every_window_is_trained(spark):
         h, kind, _ = lm.tokens(data, offsets)
         start = lm.Model(np.unique(h))
         rows = start.index(h, kind)
-        got = lm._averaged(spark.createDataFrame([(x,) for x in texts], "text string").coalesce(1), start)
+        got = lm._averaged(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), start)
         moved = np.abs(got["x"] - start.w["x"]).max(1)[rows[:-1]] > 1e-4
         assert [moved[a : a + lm.WINDOW - 1].all() for a in range(0, 5 * lm.WINDOW, lm.WINDOW)] == [True] * 5
+
+
+def test_weights_do_not_depend_on_partitions(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").selectExpr("doc_id AS id", "coalesce(text, '') AS text")
+    offsets, data = text_buffer(pa.array([r.text for r in docs.limit(20).collect()]))
+    start = lm.Model(np.unique(lm.tokens(data, offsets)[0])[: lm.FREQUENT])
+    one, other = (lm._averaged(docs.repartition(n), start, 3) for n in (1, 7))
+    assert all((one[k] == other[k]).all() for k in one)
