@@ -4,9 +4,11 @@ Vectors are cut into two-dimensional parts, each coded by four bits. Centres and
 codes minimise the loss |r|^2 + (eta - 1) (r . x/|x|)^2 of the residual r = x - code,
 so that error along the vector, which moves large inner products, costs eta times
 as much as error across it. Centres are fitted on at most SAMPLE vectors; every
-vector is coded. A block of queries is broadcast (at most QUERY_BLOCK) and scans
-the codes of each shard by table look-up; the best of a shard are scored exactly
-in double precision, and the best of all shards are merged by query.
+vector is coded. The index is dealt to shards; queries are sent to every shard in
+one job and scan its codes by table look-up. What may be among the best of a shard
+is scored exactly in double precision: all vectors whose rough score comes within
+a margin of the k-th best exact one, where the margin covers the errors that the
+codes make on near vectors of the sample. The best of all shards are merged by query.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite
 components take no part, nor do null ids or vectors of another length than most;
@@ -24,15 +26,17 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import picked, shared_path, written
+from .common import partitions, picked, written
 
 CENTRES, PART = 16, 2
 #: Most vectors that centres are fitted on.
 SAMPLE = 20_000
-QUERY_BLOCK = 4096
-SHARD_ROWS = 8192
-#: Vectors of a shard that are scored exactly for a query.
-RERANK = 160
+#: Vectors in a shard, about.
+SHARD_ROWS = 65_536
+#: Vectors of a shard that are scored exactly for a query at first, to know its k-th best.
+RERANK = 64
+#: Share of near vectors whose error the margin covers, and vectors it is measured with.
+COVERED, PROBES = 0.99, 256
 ETA = 4.0
 _SALTS = 1024
 
@@ -45,6 +49,7 @@ class Codec:
         self.parts = -(-dim // PART)
         self.parts += self.parts % 2
         self.centres = np.zeros((self.parts, CENTRES, PART))
+        self.margin = 0.0
 
     def _split(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         padded = np.zeros((len(x), self.parts * PART))
@@ -86,6 +91,16 @@ class Codec:
                 along = target - (parts[:, s] * unit[:, s]).sum(1) + (r * unit[:, s]).sum(1)
         return self
 
+    def measure(self, x: np.ndarray, k: int) -> Codec:
+        """Sets margin: by how much codes understate the inner products of near vectors, for a query of length 1."""
+        codes, short = np.ascontiguousarray(self.encode(x).T), []
+        for q in x[:: max(1, len(x) // PROBES)]:
+            exact = (x * q).sum(1)
+            near = np.argpartition(exact, len(x) - min(k, len(x)))[-min(k, len(x)) :]
+            short.append((exact[near] - scan(self, codes, q)[near]) / np.linalg.norm(q))
+        self.margin = max(0.0, float(np.quantile(np.concatenate(short), COVERED)))
+        return self
+
     def _plain(self, parts: np.ndarray) -> np.ndarray:
         return np.stack([((parts[:, s, None, :] - self.centres[s]) ** 2).sum(2).argmin(1) for s in range(self.parts)], axis=1)
 
@@ -129,7 +144,8 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
 def build_index(vectors: DataFrame, dim: int, keep: int) -> tuple[Codec, DataFrame]:
     """The codec, and a written table of distinct vectors: ids (their keep smallest), v, codes."""
     some = vectors.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").toPandas()
-    codec = Codec(dim).fit(np.array(some["v"].tolist(), float))
+    sample = np.array(some["v"].tolist(), float)
+    codec = Codec(dim).fit(sample).measure(sample, keep)
     part = F.pmod(F.xxhash64("id"), F.lit(_SALTS))
     first = vectors.groupBy("v", part.alias("salt")).agg(F.slice(F.array_sort(F.collect_set("id")), 1, keep).alias("ids"))
     classes = first.groupBy("v").agg(F.slice(F.array_sort(F.flatten(F.collect_list("ids"))), 1, keep).alias("ids"))
@@ -142,6 +158,29 @@ def build_index(vectors: DataFrame, dim: int, keep: int) -> tuple[Codec, DataFra
     return codec, written(classes.select("v", "ids").mapInArrow(encode, "v array<double>, ids array<long>, codes binary"), "ann-index")
 
 
+class _Shard:
+    def __init__(self, codec: Codec, rows: list[pa.RecordBatch], dim: int) -> None:
+        self.codec = codec
+        self.x = np.concatenate([_matrix(b.column(2), dim) for b in rows])
+        self.ids = pa.chunked_array([b.column(3) for b in rows]).combine_chunks()
+        self.low = np.asarray(pc.list_element(self.ids, 0))
+        self.codes = np.ascontiguousarray(np.frombuffer(b"".join(c for b in rows for c in b.column(4).to_pylist()), np.uint8).reshape(len(self.x), -1).T)
+
+    def answers(self, queries: pa.RecordBatch, dim: int, k: int) -> Iterator[pa.RecordBatch]:
+        x = self.x
+        for qid, q in zip(np.asarray(queries.column(3).flatten()).tolist(), _matrix(queries.column(2), dim), strict=True):
+            rough = scan(self.codec, self.codes, q)
+            if len(rough) > RERANK:
+                some = np.argpartition(rough, len(rough) - RERANK)[-RERANK:]
+                least = np.partition((x[some] * q).sum(1), RERANK - k)[RERANK - k] if k <= RERANK else -np.inf
+                at = np.flatnonzero(rough >= min(least - self.codec.margin * np.linalg.norm(q), rough[some].min()))
+            else:
+                at = np.arange(len(rough))
+            score = (x[at] * q).sum(1)
+            top = np.lexsort((self.low[at], -score))[:k]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(top), qid)), pa.array(score[top]), self.ids.take(pa.array(at[top]))], ["query_id", "score", "ids"])
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k best of all vectors but the query's own id."""
     spark: SparkSession = vectors.sparkSession
@@ -154,31 +193,28 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
     codec, index = build_index(base.filter(F.size("v") == dim), dim, k + 1)
     asked = valid_vectors(queries, id_col, vec_col).filter(F.size("v") == dim).dropDuplicates(["id"])
     shards = max(1, -(-index.count() // SHARD_ROWS))
-    blocks = max(1, -(-asked.count() // (QUERY_BLOCK * 3 // 4)))
-    dealt = written(index.repartition(shards), "ann-shards") if blocks > 1 else index.repartition(shards)
-    found = shared_path(spark, "ann-found")
-    for block in range(blocks):
-        rows = asked.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block).toPandas()  # about QUERY_BLOCK rows
-        shared = spark.sparkContext.broadcast((rows["id"].to_numpy(np.int64), np.array(rows["v"].tolist(), float).reshape(-1, dim)))
-
-        def best(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            held = [b for b in batches if b.num_rows]
-            if not held:
-                return
-            x = np.concatenate([_matrix(b.column(0), dim) for b in held])
-            ids = pa.chunked_array([b.column(1) for b in held]).combine_chunks()
-            low = np.asarray(pc.list_element(ids, 0))
-            codes = np.ascontiguousarray(np.frombuffer(b"".join(c for b in held for c in b.column(2).to_pylist()), np.uint8).reshape(len(x), -1).T)
-            for qid, q in zip(*shared.value, strict=True):
-                rough = scan(codec, codes, q)
-                at = np.argpartition(rough, len(rough) - RERANK)[-RERANK:] if len(rough) > RERANK else np.arange(len(rough))
-                score = (x[at] * q).sum(1)
-                top = np.lexsort((low[at], -score))[: k + 1]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(top), qid)), pa.array(score[top]), ids.take(pa.array(at[top]))], ["query_id", "score", "ids"])
-
-        dealt.mapInArrow(best, "query_id long, score double, ids array<long>").write.mode("append").parquet(found)
-        shared.destroy()
-    near = spark.read.schema("query_id long, score double, ids array<long>").parquet(found)
+    shard = F.pmod(F.xxhash64("v", F.lit(1)), F.lit(shards)).cast("int")
+    stored = index.select(shard.alias("shard"), F.lit(False).alias("asks"), "v", "ids", "codes")
+    sent = asked.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(True).alias("asks"), "v", F.array("id").alias("ids"), F.lit(None).cast("binary").alias("codes"))
+    dealt = stored.unionByName(sent).repartition(max(shards, partitions(spark)), "shard").sortWithinPartitions("shard", "asks")
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows by shard, its vectors before the queries."""
+        own, held, made = None, [], None
+        for whole in batches:
+            key = np.asarray(whole.column(0)) * 2 + np.asarray(whole.column(1).cast(pa.int8()))
+            cuts = np.r_[0, np.flatnonzero(np.diff(key)) + 1, len(key)]
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                batch, number, asks = whole.slice(a, b - a), int(key[a]) // 2, bool(key[a] % 2)
+                if number != own:
+                    own, held, made = number, [], None
+                if not asks:
+                    held.append(batch)
+                elif held:
+                    made = made or _Shard(codec, held, dim)
+                    yield from made.answers(batch, dim, k + 1)
+
+    near = written(dealt.mapInArrow(best, "query_id long, score double, ids array<long>"), "ann-found")
     by_query = Window.partitionBy("query_id")
     near = near.withColumn("n", F.row_number().over(by_query.orderBy(F.desc("score"), F.col("ids")[0]))).filter(F.col("n") <= k + 1)
     near = near.select("query_id", "score", F.explode("ids").alias("vec_id")).filter("vec_id != query_id")
