@@ -8,23 +8,36 @@ from .sessions import is_type
 
 # Weights of signals, and the bounds in ms of early and middle skips.
 FULL, MIDDLE, EARLY, LIKE, DISLIKE, REPEAT = 1.0, 0.2, -0.5, 2.0, -2.0, 1.5
+EARLY_CHOSEN, EARLY_OFFERED, PLAYLIST, QUEUE, SEEK = -0.75, -0.25, 1.5, 0.5, -0.3
 EARLY_MS, MIDDLE_MS = 2000, 30000
+#: Where an early skip weighs more (chosen by the user) or less (offered to them) than elsewhere.
+CHOSEN, OFFERED = ("home",), ("radio", "search")
 
 
 def signals(events: DataFrame) -> DataFrame:
     """Per user and track the counts that a score is made of; impressions do not count."""
     own = events.filter(~is_type("reco_impression"))
     skip = is_type("skip")
+    early = skip & (F.col("dwell_ms") < EARLY_MS)
+    surface = F.coalesce("surface", F.lit(""))
     return own.groupBy("user_id", "track_id").agg(
-        F.count_if(is_type("play_start")).alias("plays"), F.count_if(is_type("play_end") & (F.col("value") >= 0.8)).alias("full"),
-        F.count_if(skip & (F.col("dwell_ms") < EARLY_MS)).alias("early_skips"), F.count_if(skip & F.col("dwell_ms").between(EARLY_MS, MIDDLE_MS - 1)).alias("middle_skips"),
-        F.count_if(skip).alias("skips"), F.count_if(is_type("like")).alias("likes"), F.count_if(is_type("pause")).alias("pauses"),
+        F.count_if(is_type("play_start")).alias("plays"), F.count_if(is_type("play_end")).alias("ends"), F.count_if(is_type("play_end") & (F.col("value") >= 0.8)).alias("full"),
+        F.count_if(early).alias("early_skips"), F.count_if(early & surface.isin(*CHOSEN)).alias("early_chosen"), F.count_if(early & surface.isin(*OFFERED)).alias("early_offered"),
+        F.count_if(skip & F.col("dwell_ms").between(EARLY_MS, MIDDLE_MS - 1)).alias("middle_skips"), F.count_if(skip).alias("skips"),
+        F.count_if(is_type("like")).alias("likes"), F.count_if(is_type("dislike")).alias("dislikes"), F.count_if(is_type("playlist_add")).alias("playlist_adds"),
+        F.count_if(is_type("queue_add")).alias("queue_adds"), F.count_if(is_type("seek_back")).alias("seeks"), F.count_if(is_type("pause")).alias("pauses"),
+        F.sum("dwell_ms").alias("dwell_ms"), F.countDistinct("session_id").alias("sessions"),
         F.avg(F.when(is_type("play_end"), F.col("value"))).alias("avg_completion"), F.max("ts").alias("last_played_at"), F.min("ts").alias("first_played_at"),
     )
 
 
 def raw_score() -> Column:
-    return FULL * F.col("full") + MIDDLE * F.col("middle_skips") + EARLY * F.col("early_skips") + LIKE * F.col("likes") + REPEAT * F.greatest(F.col("plays") - 1, F.lit(0))
+    """What the signals of a user's track are worth; seeks count beyond two for each play."""
+    plain = F.col("early_skips") - F.col("early_chosen") - F.col("early_offered")
+    early = EARLY * plain + EARLY_CHOSEN * F.col("early_chosen") + EARLY_OFFERED * F.col("early_offered")
+    seeks = F.greatest(F.col("seeks") / F.greatest(F.col("plays"), F.lit(1)) - 2, F.lit(0.0))
+    wanted = LIKE * F.col("likes") + DISLIKE * F.col("dislikes") + PLAYLIST * F.col("playlist_adds") + QUEUE * F.col("queue_adds")
+    return FULL * F.col("full") + MIDDLE * F.col("middle_skips") + early + wanted + REPEAT * F.greatest(F.col("plays") - 1, F.lit(0)) + SEEK * seeks
 
 
 def normalised(scored: DataFrame, score: str = "raw", key: str = "user_id") -> DataFrame:

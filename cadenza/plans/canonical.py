@@ -10,7 +10,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 KEYS = ("C", "C#", "D", "D#", "E", "F", "F#", "G", "G#", "A", "A#", "B")
-TYPES = {"view": "play_start", "click": "play_end", "purchase": "like", "signup": "skip", "error": "pause"}
+#: Listening events that stand for each kind of event, by turns of the event id.
+TYPES = {
+    "view": ("reco_impression", "play_start", "play_start"), "click": ("play_end",), "purchase": ("like", "playlist_add"),
+    "signup": ("skip", "skip", "queue_add"), "error": ("dislike", "seek_back", "pause", "pause"),
+}
 #: "Now" for all decays: the end of the event log, and of the orders.
 NOW, ORDERS_NOW = 1706659200, 1009843200
 
@@ -21,7 +25,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def listen_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read(spark, sf_dir, "events")
-    kind = F.create_map(*[F.lit(x) for pair in TYPES.items() for x in pair])[F.col("event_type")]
+    kind = F.coalesce(*[F.when(F.col("event_type") == k, F.element_at(F.array(*map(F.lit, names)), (F.col("event_id") % len(names) + 1).cast("int"))) for k, names in TYPES.items()])
     ms = F.unix_micros(F.col("ts").cast("timestamp"))
     return e.select(
         F.col("event_id").alias("id"),
@@ -90,10 +94,25 @@ def chart_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return totals.withColumn("position", rank).filter("position <= 10")
 
 
+def similar_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """source, track_id, score: tracks on neighbouring lines of an order, as an outside service would relate them."""
+    l = read(spark, sf_dir, "lineitem")
+    after = l.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("l_partkey").alias("other"))
+    pairs = l.join(after, ["l_orderkey", "l_linenumber"])
+    name = lambda c: F.concat(F.lit("p"), F.col(c).cast("string"))
+    return pairs.groupBy(name("l_partkey").alias("source"), name("other").alias("track_id")).agg((F.max("l_discount") * 10).alias("score"))
+
+
+def track_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """track_id, v (doubles), label: the embedded part of the library."""
+    return read(spark, sf_dir, "embeddings").select(F.concat(F.lit("p"), F.col("vec_id").cast("string")).alias("track_id"), F.col("embedding").cast("array<double>").alias("v"), "label")
+
+
 _K = ", ".join(f"'{k}'" for k in KEYS)
+_KINDS = " ".join(f"WHEN '{k}' THEN {list(names)}[event_id % {len(names)} + 1]" for k, names in TYPES.items())
 CTES = f"""
 listen_events AS (SELECT event_id AS id, 'u' || user_id AS user_id, 'p' || (props->>'k') AS track_id,
-  CASE event_type WHEN 'view' THEN 'play_start' WHEN 'click' THEN 'play_end' WHEN 'purchase' THEN 'like' WHEN 'signup' THEN 'skip' ELSE 'pause' END AS event_type,
+  CASE event_type {_KINDS} END AS event_type,
   CASE WHEN event_type = 'click' THEN least(value / 100.0, 1.0) END AS value, floor(epoch_us(ts) / 1000000)::BIGINT AS ts,
   CASE WHEN event_id % 5 != 0 THEN 's' || (event_id % 97) END AS session_id, ['home', 'search', 'radio', 'recommend_api'][event_id % 4 + 1] AS surface,
   'r' || (event_id // 10) AS request_id, floor(value * 1000)::BIGINT AS dwell_ms, ['phone', 'car', 'speaker'][event_id % 3 + 1] AS device_type,
@@ -111,5 +130,7 @@ interactions AS (SELECT 'u' || o_custkey AS user_id, 'p' || l_partkey AS track_i
   max(epoch_us(l_shipdate) // 1000000) AS last_played_at, min(epoch_us(l_shipdate) // 1000000) AS first_played_at
   FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY ALL),
 chart_entries AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY snapshot_date, scope ORDER BY score DESC, entry)::INT AS position FROM
-  (SELECT date_trunc('month', o_orderdate)::DATE AS snapshot_date, o_orderpriority AS scope, o_custkey AS entry, sum(round(o_totalprice * 100)::BIGINT)::BIGINT AS score FROM orders GROUP BY ALL)) WHERE position <= 10)
+  (SELECT date_trunc('month', o_orderdate)::DATE AS snapshot_date, o_orderpriority AS scope, o_custkey AS entry, sum(round(o_totalprice * 100)::BIGINT)::BIGINT AS score FROM orders GROUP BY ALL)) WHERE position <= 10),
+similar_edges AS (SELECT 'p' || a.l_partkey AS source, 'p' || b.l_partkey AS track_id, max(a.l_discount) * 10 AS score FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 GROUP BY ALL),
+track_vectors AS (SELECT 'p' || vec_id AS track_id, list_transform(embedding, lambda x: x::DOUBLE) AS v, label FROM embeddings)
 """

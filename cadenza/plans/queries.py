@@ -23,16 +23,18 @@ def rounded(df: DataFrame) -> DataFrame:
     return df.select(*[(F.round(F.col(n), 6) + 0.0).alias(n) if t == "double" else F.col(n) for n, t in df.dtypes])
 
 
-def query(name: str, sql: str | None) -> Callable:
-    """Registers a function of (events, tracks, interactions, charts), each a function to call, and its SQL."""
+def query(name: str, sql: str | None, *sources: Callable[[SparkSession, str], DataFrame]) -> Callable:
+    """Registers a function of sources and its SQL; without sources, of (events, tracks, interactions, charts), each a function to call."""
 
     def add(f: Callable) -> Callable:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            if sources:
+                return rounded(f(*(g(spark, sf_dir) for g in sources)))
             return rounded(f(*(lambda g=g: g(spark, sf_dir) for g in (c.listen_events, c.track_features, c.interactions, c.chart_entries))))
 
         QUERIES[name] = run
         if sql is not None:
-            SQL[name] = f"WITH {CTES}{'' if sql.lstrip().startswith('SELECT') else ','} {sql}"
+            SQL[name] = f"WITH RECURSIVE {CTES}{'' if sql.lstrip().startswith('SELECT') else ','} {sql}"
         return f
 
     return add
@@ -43,11 +45,13 @@ lagged AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < 1800 THEN 0 ELSE 1 END AS f
 numbered AS (SELECT *, (sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, id ROWS UNBOUNDED PRECEDING))::BIGINT AS session_no FROM lagged)
 """
 SCORED = """
-signals AS (SELECT user_id, track_id, count_if(event_type = 'play_start')::BIGINT AS plays, count_if(event_type = 'play_end' AND value >= 0.8)::BIGINT AS full_plays,
-  count_if(event_type = 'skip' AND dwell_ms < 2000)::BIGINT AS early_skips, count_if(event_type = 'skip' AND dwell_ms BETWEEN 2000 AND 29999)::BIGINT AS middle_skips,
-  count_if(event_type = 'skip')::BIGINT AS skips, count_if(event_type = 'like')::BIGINT AS likes, count_if(event_type = 'pause')::BIGINT AS pauses,
-  avg(CASE WHEN event_type = 'play_end' THEN value END) AS avg_completion, max(ts) AS last_played_at, min(ts) AS first_played_at FROM listen_events GROUP BY ALL),
-scored AS (SELECT *, 1.0::DOUBLE * full_plays + 0.2::DOUBLE * middle_skips - 0.5::DOUBLE * early_skips + 2.0::DOUBLE * likes + 1.5::DOUBLE * greatest(plays - 1, 0) AS raw FROM signals),
+signals AS (SELECT user_id, track_id, count_if(event_type = 'play_start')::BIGINT AS plays, count_if(event_type = 'play_end')::BIGINT AS ends, count_if(event_type = 'play_end' AND value >= 0.8)::BIGINT AS full_plays,
+  count_if(event_type = 'skip' AND dwell_ms < 2000)::BIGINT AS early_skips, count_if(event_type = 'skip' AND dwell_ms < 2000 AND surface = 'home')::BIGINT AS early_chosen, count_if(event_type = 'skip' AND dwell_ms < 2000 AND surface IN ('radio', 'search'))::BIGINT AS early_offered,
+  count_if(event_type = 'skip' AND dwell_ms BETWEEN 2000 AND 29999)::BIGINT AS middle_skips, count_if(event_type = 'skip')::BIGINT AS skips, count_if(event_type = 'like')::BIGINT AS likes,
+  count_if(event_type = 'dislike')::BIGINT AS dislikes, count_if(event_type = 'playlist_add')::BIGINT AS playlist_adds, count_if(event_type = 'queue_add')::BIGINT AS queue_adds, count_if(event_type = 'seek_back')::BIGINT AS seeks, count_if(event_type = 'pause')::BIGINT AS pauses,
+  sum(dwell_ms)::BIGINT AS dwell_ms, count(DISTINCT session_id) AS sessions, avg(CASE WHEN event_type = 'play_end' THEN value END) AS avg_completion, max(ts) AS last_played_at, min(ts) AS first_played_at FROM listen_events WHERE event_type != 'reco_impression' GROUP BY user_id, track_id),
+scored AS (SELECT *, 1.0::DOUBLE * full_plays + 0.2::DOUBLE * middle_skips - 0.5::DOUBLE * (early_skips - early_chosen - early_offered) - 0.75::DOUBLE * early_chosen - 0.25::DOUBLE * early_offered
+  + 2.0::DOUBLE * likes - 2.0::DOUBLE * dislikes + 1.5::DOUBLE * playlist_adds + 0.5::DOUBLE * queue_adds + 1.5::DOUBLE * greatest(plays - 1, 0) - 0.3::DOUBLE * greatest(seeks / greatest(plays, 1) - 2, 0) AS raw FROM signals),
 normal AS (SELECT *, CASE WHEN count(*) OVER w <= 1 OR max(raw) OVER w - min(raw) OVER w < 1e-9 THEN 0.5 ELSE (raw - min(raw) OVER w) / (max(raw) OVER w - min(raw) OVER w) END AS satisfaction
   FROM scored WINDOW w AS (PARTITION BY user_id))
 """
@@ -61,58 +65,12 @@ def _(e, t, i, ch):
     return e().filter((F.col("id") > 100) & (F.col("event_type") != "reco_impression")).select("id", "user_id", "event_type")
 
 
-@query("S03_event_listing", "SELECT id, user_id, track_id, ts FROM listen_events WHERE event_type = 'play_start' AND device_type = 'car' ORDER BY ts DESC, id LIMIT 50 OFFSET 10")
-def _(e, t, i, ch):
-    return e().filter("event_type = 'play_start' AND device_type = 'car'").orderBy(F.desc("ts"), "id").offset(10).limit(50).select("id", "user_id", "track_id", "ts")
-
-
-@query("S06_event_validation", f"SELECT id, ts >= {NOW} - 86400 * 20 AND ts <= {NOW} + 300 AND (value IS NULL OR value BETWEEN -1 AND 100000) AND hour_of_day BETWEEN 0 AND 23 AS valid FROM listen_events")
-def _(e, t, i, ch):
-    ok = F.col("ts").between(NOW - 86400 * 20, NOW + 300) & (F.col("value").isNull() | F.col("value").between(-1, 100000)) & F.col("hour_of_day").between(0, 23)
-    return e().select("id", ok.alias("valid"))
-
-
-@query("S07_analysed_library", "SELECT track_id, bpm FROM track_features WHERE analysis_error IS NULL AND bpm IS NOT NULL")
-def _(e, t, i, ch):
-    return t().filter("analysis_error IS NULL AND bpm IS NOT NULL").select("track_id", "bpm")
-
-
-@query("S14_latest_wins_upsert", "SELECT user_id, track_id, event_type, id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, track_id ORDER BY ts DESC, id DESC) AS n FROM listen_events) WHERE n = 1")
-def _(e, t, i, ch):
-    return scoring.top_per(e(), ["user_id", "track_id"], [F.desc("ts"), F.desc("id")], 1).select("user_id", "track_id", "event_type", "id")
-
-
-@query("S16_user_upsert", "SELECT user_id, min(ts) AS first_seen, max(ts) AS last_seen FROM listen_events GROUP BY user_id")
-def _(e, t, i, ch):
-    return e().groupBy("user_id").agg(F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"))
-
-
-@query("S21_retention_purge", f"SELECT id, ts FROM listen_events WHERE ts >= {NOW} - 86400 * 7")
-def _(e, t, i, ch):
-    return e().filter(F.col("ts") >= NOW - 86400 * 7).select("id", "ts")
-
-
 @query("S23_children_of_newest", "SELECT id, request_id FROM listen_events WHERE request_id IN (SELECT request_id FROM listen_events GROUP BY request_id ORDER BY max(id) DESC, request_id LIMIT 20)")
 def _(e, t, i, ch):
     newest = e().groupBy("request_id").agg(F.max("id").alias("m")).orderBy(F.desc("m"), "request_id").limit(20)
     return e().join(newest, "request_id", "left_semi").select("id", "request_id")
 
 
-@query("S28_user_rename", "SELECT id, CASE WHEN user_id = 'u1' THEN 'renamed' ELSE user_id END AS user_id FROM listen_events")
-def _(e, t, i, ch):
-    return e().select("id", F.when(F.col("user_id") == "u1", "renamed").otherwise(F.col("user_id")).alias("user_id"))
-
-
-@query("P01_track_list", "SELECT track_id, bpm, energy FROM track_features WHERE bpm BETWEEN 90 AND 140 AND energy >= 0.3 AND mode = 'major' ORDER BY bpm DESC, track_id LIMIT 40")
-def _(e, t, i, ch):
-    return t().filter(F.col("bpm").between(90, 140) & (F.col("energy") >= 0.3) & (F.col("mode") == "major")).orderBy(F.desc("bpm"), "track_id").limit(40).select("track_id", "bpm", "energy")
-
-
-@query("P02_text_filter", "SELECT track_id FROM track_features WHERE title ILIKE '%ring%' OR artist ILIKE '%#2%' OR album ILIKE '%promo%'")
-def _(e, t, i, ch):
-    return t().filter(F.ilike("title", F.lit("%ring%")) | F.ilike("artist", F.lit("%#2%")) | F.ilike("album", F.lit("%promo%"))).select("track_id")
-
-
 @query("P03_mood_filter", "SELECT track_id FROM track_features WHERE len(list_filter(mood_tags, lambda m: m.label = 'happy' AND m.confidence > 0.3)) > 0")
 def _(e, t, i, ch):
     return t().filter(F.exists("mood_tags", lambda m: (m["label"] == "happy") & (m["confidence"] > 0.3))).select("track_id")
@@ -149,12 +107,6 @@ def _(e, t, i, ch):
     return i().filter("like_count > 0 OR play_count >= 3 OR satisfaction >= 0.6").select("user_id", "track_id")
 
 
-@query("P24_scrobble_rule", "SELECT e.id FROM listen_events e JOIN track_features t USING (track_id) WHERE event_type = 'play_end' AND duration_ms >= 30000 AND (value >= 0.5 OR dwell_ms >= 240000 OR dwell_ms * 2 >= duration_ms)")
-def _(e, t, i, ch):
-    rule = (F.col("duration_ms") >= 30000) & ((F.col("value") >= 0.5) | (F.col("dwell_ms") >= 240000) | (F.col("dwell_ms") * 2 >= F.col("duration_ms")))
-    return e().filter("event_type = 'play_end'").join(t().select("track_id", "duration_ms"), "track_id").filter(rule).select("id")
-
-
 # Joins
 
 
@@ -178,14 +130,14 @@ def _(e, t, i, ch):
     return linking.never_played(e().filter("surface = 'home'"), e().filter("event_type = 'play_start'"), ["user_id", "track_id"])
 
 
-@query("J07_streams_of_impressions", "SELECT id, request_id FROM listen_events WHERE event_type = 'play_end' AND request_id IN (SELECT request_id FROM listen_events WHERE event_type = 'like')")
+@query("J07_streams_of_impressions", "SELECT id, request_id FROM listen_events WHERE event_type = 'play_end' AND request_id IN (SELECT request_id FROM listen_events WHERE event_type = 'reco_impression')")
 def _(e, t, i, ch):
-    return e().filter("event_type = 'play_end'").join(e().filter("event_type = 'like'"), "request_id", "left_semi").select("id", "request_id")
+    return e().filter("event_type = 'play_end'").join(e().filter("event_type = 'reco_impression'"), "request_id", "left_semi").select("id", "request_id")
 
 
-@query("J08_streamed_flag", "SELECT i.id, EXISTS (SELECT 1 FROM listen_events s WHERE s.event_type = 'play_start' AND s.user_id = i.user_id AND s.track_id = i.track_id) AS streamed FROM listen_events i WHERE i.event_type = 'like'")
+@query("J08_streamed_flag", "SELECT i.id, EXISTS (SELECT 1 FROM listen_events s WHERE s.event_type IN ('play_start', 'play_end') AND s.request_id = i.request_id AND s.track_id = i.track_id) AS streamed FROM listen_events i WHERE i.event_type = 'reco_impression'")
 def _(e, t, i, ch):
-    return linking.with_flag(e().filter("event_type = 'like'"), e().filter("event_type = 'play_start'"), ["user_id", "track_id"], "streamed").select("id", "streamed")
+    return linking.with_flag(e().filter("event_type = 'reco_impression'"), e().filter("event_type IN ('play_start', 'play_end')"), ["request_id", "track_id"], "streamed").select("id", "streamed")
 
 
 @query("J10_band_neighbours", "SELECT a.track_id AS seed, count(*) AS n, round(avg(b.bpm), 6) AS bpm FROM track_features a JOIN track_features b ON a.mode = b.mode AND abs(a.bpm - b.bpm) <= 15 AND b.energy BETWEEN greatest(a.energy - 0.25, 0) AND least(a.energy + 0.25, 1) AND a.track_id != b.track_id GROUP BY a.track_id")
@@ -248,7 +200,7 @@ def _(e, t, i, ch):
     return sessions.first_seen_mode(e(), ["user_id"], "device_type")
 
 
-@query("A03_track_signals", f"{SCORED} SELECT user_id, track_id, plays, full_plays AS \"full\", early_skips, middle_skips, skips, likes, pauses, round(avg_completion, 6) AS avg_completion, last_played_at, first_played_at FROM signals")
+@query("A03_track_signals", f"{SCORED} SELECT * EXCLUDE (full_plays, avg_completion), full_plays AS \"full\", round(avg_completion, 6) AS avg_completion FROM signals")
 def _(e, t, i, ch):
     return scoring.signals(e())
 
@@ -265,11 +217,11 @@ _WEIGHT = f"exp(-({ORDERS_NOW} - last_played_at) / 86400.0 / 365) * (0.1 + satis
     "A06_weighted_feature_stats",
     f"""long AS (SELECT user_id, {_WEIGHT} AS w, unnest([{{'f': 'bpm', 'v': bpm}}, {{'f': 'energy', 'v': energy}}, {{'f': 'valence', 'v': valence}}]) AS x FROM interactions JOIN track_features USING (track_id)),
 m AS (SELECT user_id, x.f AS feature, sum(w) AS sw, sum(w * x.v) AS s1, sum(w * x.v * x.v) AS s2 FROM long GROUP BY ALL)
-SELECT user_id, feature, round(s1 / sw, 6) AS mean FROM m WHERE sw > 0""",
+SELECT user_id, feature, round(s1 / sw, 6) AS mean, round(sqrt(greatest(s2 / sw - (s1 / sw) * (s1 / sw), 0)), 3) AS deviation FROM m WHERE sw > 0""",
 )
 def _(e, t, i, ch):
     weight = scoring.recency("last_played_at", ORDERS_NOW, 365) * (0.1 + F.col("satisfaction"))
-    return scoring.weighted_stats(i().join(t(), "track_id"), ["bpm", "energy", "valence"], weight).drop("deviation")
+    return scoring.weighted_stats(i().join(t(), "track_id"), ["bpm", "energy", "valence"], weight).withColumn("deviation", F.round("deviation", 3))
 
 
 @query(
@@ -320,10 +272,10 @@ def _(e, t, i, ch):
     return best.groupBy("artist").agg(F.avg("satisfaction").alias("score"))
 
 
-@query("A22_impression_to_stream", "SELECT user_id, count_if(event_type = 'like')::BIGINT AS impressions, count(DISTINCT CASE WHEN event_type = 'like' THEN request_id END) AS requests, count_if(event_type IN ('play_start', 'play_end') AND request_id IN (SELECT request_id FROM listen_events WHERE event_type = 'like'))::BIGINT AS streams FROM listen_events GROUP BY user_id")
+@query("A22_impression_to_stream", "SELECT user_id, count_if(event_type = 'reco_impression')::BIGINT AS impressions, count(DISTINCT CASE WHEN event_type = 'reco_impression' THEN request_id END) AS requests, count_if(event_type IN ('play_start', 'play_end') AND request_id IN (SELECT request_id FROM listen_events WHERE event_type = 'reco_impression'))::BIGINT AS streams FROM listen_events GROUP BY user_id")
 def _(e, t, i, ch):
-    flagged = linking.with_flag(e(), e().filter("event_type = 'like'"), ["request_id"], "shown")
-    like = F.col("event_type") == "like"
+    flagged = linking.with_flag(e(), e().filter("event_type = 'reco_impression'"), ["request_id"], "shown")
+    like = F.col("event_type") == "reco_impression"
     return flagged.groupBy("user_id").agg(F.count_if(like).alias("impressions"), F.countDistinct(F.when(like, F.col("request_id"))).alias("requests"), F.count_if(F.col("event_type").isin("play_start", "play_end") & F.col("shown")).alias("streams"))
 
 
@@ -493,11 +445,6 @@ def _(e, t, i, ch):
 # Time windows and states
 
 
-@query("ST05_ingest_rate", "SELECT ts // 900 * 900 AS bucket, count(*) AS n FROM listen_events GROUP BY bucket")
-def _(e, t, i, ch):
-    return e().groupBy((F.floor(F.col("ts") / 900) * 900).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("ST06_activity_pivot", "SELECT ts // 3600 * 3600 AS bucket, count_if(event_type = 'play_start')::BIGINT AS play_start, count_if(event_type = 'play_end')::BIGINT AS play_end, count_if(event_type = 'skip')::BIGINT AS skip FROM listen_events GROUP BY bucket")
 def _(e, t, i, ch):
     kinds = ["play_start", "play_end", "skip"]
