@@ -31,7 +31,9 @@ from .common import LOWER, U64, chunks, partitions, picked, span_hashes, spans,
 from .toxicity import held_out
 
 FREQUENT, CLASS, RARE = 512, 32, 48
-HIDDEN, WINDOW, BATCH = 16, 16, 512
+HIDDEN, WINDOW, BATCH = 16, 16, 1024
+#: Documents scored side by side.
+SCORE_BATCH = 3072
 RATE = 0.08
 #: Bytes of text in a block that is scored by one task, and in a group that one model trains on, about.
 BLOCK_BYTES, GROUP_BYTES = 12 << 20, 16 << 20
@@ -274,7 +276,7 @@ class Model:
     def score(self, rows: np.ndarray, first: np.ndarray) -> np.ndarray:
         """ln P of every token, given all before it in its document (rare words: of their class)."""
         out = np.zeros(len(rows))
-        for docs, seen, live in _lanes(rows, first, BATCH):
+        for docs, seen, live in _lanes(rows, first, SCORE_BATCH):
             h = np.zeros((len(docs), HIDDEN), np.float32)
             for t in range(0, seen.shape[0], WINDOW):
                 part, on = seen[t : t + WINDOW], live[t : t + WINDOW]
