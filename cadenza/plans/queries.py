@@ -246,11 +246,6 @@ def _(e, t, i, ch):
     return i().select("user_id", day.alias("d")).groupBy("user_id").agg(F.countDistinct("d").alias("days"))
 
 
-@query("A14_popular_tracks", "SELECT track_id, sum(play_count)::BIGINT AS plays FROM interactions GROUP BY track_id ORDER BY plays DESC, track_id LIMIT 50")
-def _(e, t, i, ch):
-    return i().groupBy("track_id").agg(F.sum("play_count").alias("plays")).orderBy(F.desc("plays"), "track_id").limit(50)
-
-
 @query("A16_mean_impression_position", "SELECT user_id, track_id, trunc(avg(position))::INT AS position FROM listen_events WHERE surface = 'home' GROUP BY ALL")
 def _(e, t, i, ch):
     return e().filter("surface = 'home'").groupBy("user_id", "track_id").agg(F.avg("position").cast("int").alias("position"))
@@ -309,11 +304,6 @@ def _(e, t, i, ch):
     return e().groupBy("device_type").agg(ok.alias("ok"), bad.alias("failed"), F.try_divide(ok, ok + bad).alias("rate"))
 
 
-@query("A32_chart_stats", "SELECT scope, count(*) AS entries, count(DISTINCT entry) AS names, count(DISTINCT snapshot_date) AS dates FROM chart_entries GROUP BY scope")
-def _(e, t, i, ch):
-    return ch().groupBy("scope").agg(F.count(F.lit(1)).alias("entries"), F.countDistinct("entry").alias("names"), F.countDistinct("snapshot_date").alias("dates"))
-
-
 @query("A35_genre_counts", "SELECT trim(g) AS genre, count(*) AS n FROM (SELECT unnest(string_split(genre, ',')) AS g FROM track_features) GROUP BY ALL ORDER BY n DESC, genre LIMIT 5")
 def _(e, t, i, ch):
     return t().select(F.explode(F.split("genre", ",")).alias("g")).groupBy(F.trim("g").alias("genre")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "genre").limit(5)
@@ -353,11 +343,6 @@ def _(e, t, i, ch):
     return sessions.first_per_session(e()).select("id")
 
 
-@query("W06_top_tracks_per_user", "SELECT user_id, track_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY satisfaction DESC, track_id)::INT AS rank FROM interactions) WHERE rank <= 10")
-def _(e, t, i, ch):
-    return scoring.top_per(i(), ["user_id"], [F.desc("satisfaction"), F.col("track_id")], 10).select("user_id", "track_id", "rank")
-
-
 @query("W07_top_tracks_per_artist", "SELECT artist, track_id, plays, rank FROM (SELECT artist, track_id, sum(play_count)::BIGINT AS plays, row_number() OVER (PARTITION BY artist ORDER BY sum(play_count) DESC, track_id)::INT AS rank FROM interactions JOIN track_features USING (track_id) GROUP BY artist, track_id) WHERE rank <= 5")
 def _(e, t, i, ch):
     plays = i().join(t().select("track_id", "artist"), "track_id").groupBy("artist", "track_id").agg(F.sum("play_count").alias("plays"))
