@@ -2,7 +2,8 @@
 
 Archives are written by Spark's text writer: a row is one record and the line
 separator is the blank lines that end a WARC record, so files are committed by
-Spark and a lost executor only repeats its own file. Headers are shuffled by
+Spark and a lost executor only repeats its own file. Records that are written
+again get ids of their own. Headers are shuffled by
 payload digest; payloads never are more than once, on the record id.
 
 Defined cases: a null page is an empty payload; null ids are written as an
@@ -16,8 +17,10 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import io
 import uuid
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -28,8 +31,8 @@ from .common import picked
 END = "\r\n\r\n"
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: Records in a file; a file is read whole by one task.
-FILE_RECORDS = 2000
+#: Bytes of records in a file, about, and records at most; a file is read by one task, record by record.
+FILE_BYTES, FILE_RECORDS, HEADER_BYTES = 64 << 20, 20_000, 700
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 _READ = "record_id string, record_type string, page_id long, uri string, payload_bytes long, payload_digest string, refers_to long, refers_to_record string, payload string"
 
@@ -61,23 +64,29 @@ def revisit(record_id: str, page_id: int | None, uri: str | None, size: int, pay
     return _record(headers, _http(size))
 
 
-def parse(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+def parse(raw: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
     """Headers (keys in lower case) and block of each record of an archive, by content lengths."""
-    at, end = 0, END.encode()
-    while at < len(raw):
-        stop = raw.index(end, at)
-        first, *lines = raw[at:stop].decode().split("\r\n")
-        if not first.startswith("WARC/"):
-            raise ValueError(f"no WARC record at byte {at}")
-        headers = {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-        block = stop + 4
-        at = block + int(headers["content-length"])
-        yield headers, raw[block:at]
-        at += 4
+    while first := raw.readline():
+        if not first.startswith(b"WARC/"):
+            raise ValueError("no WARC record where one should begin")
+        headers: dict[str, str] = {}
+        while (line := raw.readline()) not in (b"\r\n", b""):
+            k, _, v = line.decode().partition(":")
+            headers[k.lower()] = v.strip()
+        yield headers, raw.read(int(headers["content-length"]))
+        raw.read(len(END))
 
 
-def _write(records: DataFrame, path: str) -> None:
-    records.write.option("lineSep", END).option("maxRecordsPerFile", FILE_RECORDS).option("compression", "gzip").text(path)
+def _write(records: DataFrame, path: str, sizes: DataFrame) -> None:
+    """Records (value) in files of about FILE_BYTES, given the sizes of all of them."""
+    mean = sizes.agg(F.coalesce(F.avg("size"), F.lit(0.0))).first()[0]
+    most = int(min(FILE_RECORDS, max(1, FILE_BYTES // (mean + HEADER_BYTES))))
+    records.write.option("lineSep", END).option("maxRecordsPerFile", most).option("compression", "gzip").text(path)
+
+
+def fresh(record_id: str) -> str:
+    """The id of a record that is written again."""
+    return f"urn:uuid:{uuid.uuid5(_SPACE, record_id + '/deduplicated')}"
 
 
 def write_responses(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
@@ -93,7 +102,8 @@ def write_responses(pages: DataFrame, path: str, id_col: str = "page_id", url_co
                     n += 1
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
 
-    _write(picked(pages, id_col, url_col, html_col).select(F.col(id_col).cast("long"), F.col(url_col).cast("string"), F.col(html_col).cast("string")).mapInArrow(build, "value string"), path)
+    rows = picked(pages, id_col, url_col, html_col).select(F.col(id_col).cast("long"), F.col(url_col).cast("string"), F.col(html_col).cast("string").alias("html"))
+    _write(rows.mapInArrow(build, "value string"), path, rows.select(F.coalesce(F.octet_length("html"), F.lit(0)).alias("size")))
 
 
 def read_archive(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
@@ -104,7 +114,7 @@ def read_archive(spark: SparkSession, path: str, payloads: bool = True) -> DataF
             for content in batch.column(0):
                 rows: list[tuple] = []
                 size = 0
-                for h, block in parse(gzip.decompress(content.as_py())):
+                for h, block in parse(gzip.GzipFile(fileobj=io.BytesIO(content.as_py()))):
                     head, _, payload = block.partition(b"\r\n\r\n")
                     full = int(next(x for x in head.split(b"\r\n") if x.lower().startswith(b"content-length:")).split(b":")[1])
                     kind, page, to = h["warc-type"], h.get("x-page-id"), h.get("x-refers-to-page-id")
@@ -143,7 +153,7 @@ def deduplicate(spark: SparkSession, source: str, target: str, least_bytes: int
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
-                out = [response(rid, page, uri, payload.encode(), DATE, sha) if record is None else revisit(rid, page, uri, size, sha, to, record, to_uri) for rid, page, uri, size, sha, payload, to, record, to_uri in zip(*(c.to_pylist() for c in batch.slice(k, 256).columns), strict=True)]
+                out = [response(fresh(rid), page, uri, payload.encode(), DATE, sha) if record is None else revisit(fresh(rid), page, uri, size, sha, to, fresh(record), to_uri) for rid, page, uri, size, sha, payload, to, record, to_uri in zip(*(c.to_pylist() for c in batch.slice(k, 256).columns), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
 
-    _write(joined.mapInArrow(build, "value string"), target)
+    _write(joined.mapInArrow(build, "value string"), target, headers.select(F.col("payload_bytes").alias("size")))
