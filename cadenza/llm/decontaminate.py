@@ -6,7 +6,8 @@ Beyond the bound windows meet by a shuffled join on their hash. Either way each
 hit is verified against the window's words before it counts.
 
 Defined cases: a null or wordless text has no words and is never contaminated;
-an item of fewer words than a window is one window; rows that repeat (the same
+an item of fewer words than a window is one window; the words of an item without
+an id are hit, and it is not listed; rows that repeat (the same
 id or the same text) are judged each on its own; an empty benchmark hits
 nothing; other columns of the inputs are not touched or read.
 """
@@ -43,7 +44,7 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, id_col: str =
                 for k in range(j - i):
                     a, b = int(first[k]), int(first[k + 1])
                     n = min(window, b - a)
-                    if n and items[i + k] is not None:
+                    if n:
                         for at, h in enumerate(run_hashes(hashes[a:b], n).view(np.int64).tolist(), a):
                             out[items[i + k], n, h, b" ".join(raw[s:e] for s, e in zip(starts[at : at + n].tolist(), ends[at : at + n].tolist(), strict=True))] = None
             if out:
@@ -81,7 +82,7 @@ def _hits(low: np.ndarray, starts: np.ndarray, ends: np.ndarray, doc: np.ndarray
         for k in at.tolist():
             text = b" ".join(raw[s:e] for s, e in zip(starts[k : k + n].tolist(), ends[k : k + n].tolist(), strict=True))
             items = known.known[int(runs[k].view(np.int64))].get(text)
-            if items:
+            if items is not None:
                 yield k, n, items
 
 
@@ -124,7 +125,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_co
                 for k, n, names in _hits(low, starts, ends, doc, span_hashes(low, starts, ends), windows):
                     d = int(doc[k])
                     ranges.setdefault(d, []).append((k - int(first[d]), n))
-                    items.setdefault(d, set()).update(names)
+                    items.setdefault(d, set()).update(x for x in names if x is not None)
                 both = [_merged(ranges[d]) if d in ranges else ([], []) for d in range(j - i)]
                 made = [pa.array(np.diff(first)), pa.array([x[0] for x in both], pa.list_(pa.int64())), pa.array([x[1] for x in both], pa.list_(pa.int64())), pa.array([sorted(items.get(d, ())) for d in range(j - i)], pa.list_(pa.string()))]
                 yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns, *made], [*batch.schema.names, *_RESULT.names])
