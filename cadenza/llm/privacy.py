@@ -30,7 +30,7 @@ EMAIL = rf"(?:\G|(?<!{_LOCAL})){_LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9]){11,}+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-WORD = r"(?<![\p{L}\p{N}])\p{L}{4,}+(?!\p{N})"
+WORD = r"(?<![\p{L}\p{N}])\p{N}*+\p{L}[\p{L}\p{N}]*+"
 #: Characters on either side of an entity whose words count as near it.
 NEAR = 80
 #: Different texts behind a term and an entity; least P(entity | term); least bits over P(entity).
