@@ -13,6 +13,7 @@ numbers; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections.abc import Iterator
 
@@ -27,7 +28,6 @@ from .tokens import default_path, tokenizer
 CAPACITY, END = 4096, 1
 #: Pieces that one task packs.
 GROUP = 100_000
-ROUNDS = 3
 #: A bin with at most this much room left is not opened again.
 SLACK = 16
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
@@ -117,7 +117,7 @@ def _bins(packed: DataFrame) -> int:
     return packed.filter("offset = 0").count()
 
 
-def assign(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP, rounds: int = ROUNDS) -> DataFrame:
+def assign(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
     """uid, sequence_id, offset for pieces of columns uid (distinct) and length."""
 
     def dealt(df: DataFrame, n: int, seed: int, base: int) -> DataFrame:
@@ -127,7 +127,7 @@ def assign(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP, roun
     n = pieces.count()
     done = _packed(dealt(pieces, n, 0, 0), capacity, "packed-0")
     base = max(1, -(-n // group))
-    for k in range(1, rounds + 1):
+    for k in itertools.count(1):  # each round saves a bin or is the last
         again = done.filter((F.col("room") > SLACK) & ((F.col("gap") > 0) | (F.col("room") > capacity // 8)))
         moved = again.count()
         if not moved or again.select("part", "bin").distinct().limit(2).count() < 2:
