@@ -12,3 +12,26 @@ def numbered(df: DataFrame, *order: str) -> DataFrame:
     sizes = inside.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     return inside.join(F.broadcast(before.select("_part", "_before")), "_part").withColumn("place", (F.col("_at") + F.col("_before")).cast("long")).drop("_part", "_at", "_before")
+
+
+def first_source_wins(candidates: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Of candidates of one track from several sources, that which comes first in order."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    return candidates.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+
+
+def capped(ranked: DataFrame, user: str, group: str, place: str, most: int = 2, top: int = 10) -> DataFrame:
+    """ranked with slot: among the first top slots at most `most` of a group; what exceeds follows after them."""
+    inside = ranked.withColumn("_k", F.row_number().over(Window.partitionBy(user, group).orderBy(place)))
+    fits = F.col("_k") <= most
+    inside = inside.withColumn("_a", F.when(fits, F.sum(F.when(fits, 1).otherwise(0)).over(Window.partitionBy(user).orderBy(place).rowsBetween(Window.unboundedPreceding, 0))))
+    first = F.coalesce(F.col("_a") <= top, F.lit(False))
+    return inside.withColumn("slot", F.row_number().over(Window.partitionBy(user).orderBy(F.when(first, 0).otherwise(1), place))).drop("_k", "_a")
+
+
+def rank_agreement(pairs: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
+    """Kendall's tau of two ranks within each group, whose size is bounded by the list it ranks."""
+    left = pairs.select(*keys, F.col(a).alias("a1"), F.col(b).alias("b1"))
+    right = pairs.select(*keys, F.col(a).alias("a2"), F.col(b).alias("b2"))
+    both = left.join(right, keys).filter("a1 < a2")
+    return both.groupBy(*keys).agg((F.sum(F.signum(F.col("b2") - F.col("b1"))) / F.count(F.lit(1))).alias("tau"))

@@ -380,23 +380,12 @@ def _(e, t, i, ch):
     return side("best", F.desc("satisfaction")).unionByName(side("worst", F.asc("satisfaction")))
 
 
-@query("T08_closest_tracks", "SELECT track_id, round(abs(bpm - 120) / 40 + abs(energy - 0.6) / 0.4 + abs(valence - 0.5) / 0.5, 6) AS distance FROM track_features ORDER BY abs(bpm - 120) / 40 + abs(energy - 0.6) / 0.4 + abs(valence - 0.5) / 0.5, track_id LIMIT 20")
-def _(e, t, i, ch):
-    return linking.closest(t(), {"bpm": (120.0, 40.0), "energy": (0.6, 0.4), "valence": (0.5, 0.5)}, 20).select("track_id", "distance")
-
-
 @query("U01_exclusions", f"SELECT user_id, track_id FROM interactions WHERE dislike_count > 0 UNION SELECT user_id, track_id FROM interactions WHERE early_skip_count > 0 AND last_played_at >= {ORDERS_NOW} - 86400 * 900")
 def _(e, t, i, ch):
     disliked = i().filter("dislike_count > 0").select("user_id", "track_id")
     return disliked.union(i().filter((F.col("early_skip_count") > 0) & (F.col("last_played_at") >= ORDERS_NOW - 86400 * 900)).select("user_id", "track_id")).distinct()
 
 
-@query("U04_overlap", "top AS (SELECT scope, entry FROM chart_entries WHERE snapshot_date = DATE '1997-01-01') SELECT entry FROM top WHERE scope = '1-URGENT' INTERSECT SELECT entry FROM top WHERE scope != '1-URGENT'")
-def _(e, t, i, ch):
-    top = ch().filter("snapshot_date = DATE '1997-01-01'")
-    return top.filter("scope = '1-URGENT'").select("entry").intersect(top.filter("scope != '1-URGENT'").select("entry"))
-
-
 # Functions
 
 
