@@ -34,7 +34,8 @@ def rollup(events: DataFrame, gap_s: int = GAP_S, least_events: int = 1) -> Data
         F.min("ts").alias("started_at"), F.max("ts").alias("ended_at"), (F.max("ts") - F.min("ts")).alias("duration_s"), F.count(F.lit(1)).alias("events"),
         F.countDistinct("track_id").alias("tracks"), starts.alias("plays"), skips.alias("skips"), F.count_if(is_type("like")).alias("likes"),
         (skips / F.greatest(starts, F.lit(1))).alias("skip_rate"), F.avg(F.when(is_type("play_end"), F.col("value"))).alias("avg_completion"), F.sum("dwell_ms").alias("dwell_ms"),
-        F.min_by("hour_of_day", F.struct("ts", "id")).alias("hour_of_day"),
+        F.min_by("hour_of_day", F.struct("ts", "id")).alias("hour_of_day"), F.min_by("surface", F.struct("ts", "id")).alias("surface"),
+        F.count_if(is_type("pause")).alias("pauses"), F.count_if(is_type("reco_impression")).alias("impressions"),
     )
     return agg.filter(F.col("events") >= least_events)
 

@@ -184,17 +184,6 @@ def _(e, t, i, ch):
 # Aggregations
 
 
-@query(
-    "A01_session_rollup",
-    f"""{SESSIONS} SELECT user_id, session_no, min(ts) AS started_at, max(ts) AS ended_at, max(ts) - min(ts) AS duration_s, count(*) AS events, count(DISTINCT track_id) AS tracks,
-  count_if(event_type = 'play_start')::BIGINT AS plays, count_if(event_type = 'skip')::BIGINT AS skips, count_if(event_type = 'like')::BIGINT AS likes,
-  round(count_if(event_type = 'skip') / greatest(count_if(event_type = 'play_start'), 1), 6) AS skip_rate, round(avg(CASE WHEN event_type = 'play_end' THEN value END), 6) AS avg_completion,
-  sum(dwell_ms)::BIGINT AS dwell_ms, arg_min(hour_of_day, ts * 1000000 + id) AS hour_of_day FROM numbered GROUP BY user_id, session_no""",
-)
-def _(e, t, i, ch):
-    return sessions.rollup(e())
-
-
 @query("A02_first_seen_mode", "SELECT user_id, device_type AS mode, n FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, f) AS r FROM (SELECT user_id, device_type, count(*) AS n, min(ts * 1000000 + id) AS f FROM listen_events GROUP BY ALL)) WHERE r = 1")
 def _(e, t, i, ch):
     return sessions.first_seen_mode(e(), ["user_id"], "device_type")
