@@ -40,13 +40,6 @@ def year(date: Column) -> Column:
     return F.nullif(F.regexp_extract(date, r"^(\d{4})", 1), F.lit("")).cast("int")
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine of two arrays; null where one of them is zero."""
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return F.when(norm > 0, dot(a, b) / norm)
-
-
 def clamp(x: Column) -> Column:
     return F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0))
 

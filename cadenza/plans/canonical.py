@@ -72,7 +72,7 @@ def track_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 def interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     o, l = read(spark, sf_dir, "orders"), read(spark, sf_dir, "lineitem")
     joined = o.join(l, o.o_orderkey == l.l_orderkey)
-    return joined.groupBy(F.concat(F.lit("u"), F.col("o_custkey").cast("string")).alias("user_id"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("track_id")).agg(
+    made = joined.groupBy("o_custkey", "l_partkey").agg(
         F.count(F.lit(1)).alias("play_count"),
         F.count_if(F.col("l_returnflag") == "A").alias("like_count"),
         F.count_if(F.col("l_returnflag") == "R").alias("skip_count"),
@@ -82,6 +82,8 @@ def interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.max(F.unix_seconds(F.col("l_shipdate").cast("timestamp"))).alias("last_played_at"),
         F.min(F.unix_seconds(F.col("l_shipdate").cast("timestamp"))).alias("first_played_at"),
     )
+    name = lambda letter, n: F.concat(F.lit(letter), F.col(n).cast("string"))
+    return made.select(name("u", "o_custkey").alias("user_id"), name("p", "l_partkey").alias("track_id"), *made.columns[2:])
 
 
 def chart_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
