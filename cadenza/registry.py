@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import ingest, matching, playlists, profiles, recommend  # noqa: F401 (registers its queries)
+from .plans import ingest, matching, models, playlists, profiles, recommend  # noqa: F401 (registers its queries)
 from .plans.queries import QUERIES, SQL
 
 FLAGSHIP = "A01_session_rollup"
