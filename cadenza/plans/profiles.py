@@ -117,11 +117,11 @@ def _(e):
     return s.groupBy("user_id").agg(F.count(F.lit(1)).alias("sessions"), F.avg("events").alias("events"), F.avg("duration_s").alias("seconds"), F.avg("skip_rate").alias("skip_rate"))
 
 
-@query("A13_behaviour_summary", "days AS (SELECT user_id, count(DISTINCT d) AS days FROM (SELECT user_id, last_played_at // 86400 AS d FROM interactions UNION SELECT user_id, first_played_at // 86400 FROM interactions) GROUP BY user_id) SELECT user_id, sum(play_count)::BIGINT AS plays, round(sum(skip_count) / greatest(sum(play_count), 1), 6) AS skip_rate, round(avg(satisfaction), 6) AS satisfaction, any_value(days) AS days FROM interactions JOIN days USING (user_id) GROUP BY user_id", plays)
+@query("A13_behaviour_summary", "days AS (SELECT user_id, count(DISTINCT d) AS days FROM (SELECT user_id, last_played_at // 86400 AS d FROM interactions UNION SELECT user_id, first_played_at // 86400 FROM interactions) GROUP BY user_id) SELECT user_id, sum(play_count)::BIGINT AS plays, round(sum(skip_count) / greatest(sum(play_count), 1), 6) AS skip_rate, round(sum(satisfaction), 6) AS satisfaction, any_value(days) AS days FROM interactions JOIN days USING (user_id) GROUP BY user_id", plays)
 def _(i):
     day = F.explode(F.array(F.floor(F.col("first_played_at") / 86400), F.floor(F.col("last_played_at") / 86400)))
     days = i.select("user_id", day.alias("d")).groupBy("user_id").agg(F.countDistinct("d").alias("days"))
-    sums = i.groupBy("user_id").agg(F.sum("play_count").alias("plays"), (F.sum("skip_count") / F.greatest(F.sum("play_count"), F.lit(1))).alias("skip_rate"), F.avg("satisfaction").alias("satisfaction"))
+    sums = i.groupBy("user_id").agg(F.sum("play_count").alias("plays"), (F.sum("skip_count") / F.greatest(F.sum("play_count"), F.lit(1))).alias("skip_rate"), F.sum("satisfaction").alias("satisfaction"))
     return sums.join(days, "user_id")
 
 
@@ -325,10 +325,11 @@ def _(e):
 _PLAYED = "starts AS (SELECT * FROM listen_events WHERE event_type = 'play_start'), ends AS (SELECT * FROM listen_events WHERE event_type = 'play_end'), by_session AS (SELECT user_id, session_id, track_id, arg_max(value, ts * 1000000 + id) AS session_value FROM ends WHERE session_id IS NOT NULL GROUP BY ALL)"
 
 
-@query("J12_session_key_join", f"{_PLAYED} SELECT id, session_value FROM starts JOIN by_session USING (user_id, session_id, track_id)".replace("session_value FROM starts", "round(session_value, 6) AS session_value FROM starts"), events)
+@query("J12_session_key_join", "ends AS (SELECT session_id, track_id, arg_max(value, ts * 1000000 + id) AS completion FROM listen_events WHERE event_type = 'play_end' AND session_id IS NOT NULL GROUP BY ALL) SELECT id, round(completion, 6) AS completion FROM listen_events JOIN ends USING (session_id, track_id) WHERE event_type = 'play_start'", events)
 def _(e):
-    ends = e.filter("event_type = 'play_end' AND session_id IS NOT NULL").groupBy("user_id", "session_id", "track_id").agg(F.max_by("value", F.struct("ts", "id")).alias("session_value"))
-    return e.filter("event_type = 'play_start'").join(ends, ["user_id", "session_id", "track_id"]).select("id", "session_value")
+    """The completion that the latest end of a start's session and track tells."""
+    ends = e.filter("event_type = 'play_end' AND session_id IS NOT NULL").groupBy("session_id", "track_id").agg(F.max_by("value", F.struct("ts", "id")).alias("completion"))
+    return e.filter("event_type = 'play_start'").join(ends, ["session_id", "track_id"]).select("id", "completion")
 
 
 @query("D31_listening_history", f"{_PLAYED} SELECT s.id, s.track_id, title, round(coalesce(session_value, (SELECT arg_min(n.value, n.ts * 1000000 + n.id) FROM ends n WHERE n.user_id = s.user_id AND n.track_id = s.track_id AND (n.ts, n.id) > (s.ts, s.id))), 6) AS completion FROM starts s LEFT JOIN by_session b USING (user_id, session_id, track_id) LEFT JOIN track_features t ON t.track_id = s.track_id", events, tracks)
