@@ -154,3 +154,59 @@ def nearest(vectors: dict[int, np.ndarray], k: int = 20) -> dict[int, list[tuple
         order = [i for i in np.lexsort((ids, -s)) if ids[i] != q][:k]
         out[q] = [(int(ids[i]), float(s[i])) for i in order]
     return out
+
+
+def merkle_rows(docs: list[tuple]) -> list[tuple]:
+    """Rows of (doc_id, source, lang, n_chars, text): leaf, subroot, root, proof, folded root, verified of each."""
+    part = lambda x: "-" if x is None else f"{len(str(x).encode())}:{x}"
+    hashed = lambda row: sha("".join(map(part, row)))
+
+    def levels(leaves: list[str]) -> list[list[str]]:
+        out = [leaves]
+        while len(out[-1]) > 1:
+            out.append([sha("".join(out[-1][i : i + 8])) for i in range(0, len(out[-1]), 8)])
+        return out
+
+    def path(tree: list[list[str]], i: int) -> list[tuple[str, str]]:
+        out = []
+        for level in tree[:-1]:
+            a = i // 8 * 8
+            out.append(("".join(level[a:i]), "".join(level[i + 1 : a + 8])))
+            i //= 8
+        return out
+
+    groups: dict = {}
+    for row in docs:
+        groups.setdefault(row[2], []).append(row)
+    keys = sorted(groups, key=lambda k: (k is not None, (k or "").encode()))
+    for k in keys:
+        groups[k].sort(key=lambda row: (row[0] is not None, row[0] or 0, hashed(row)))
+    trees = {k: levels([hashed(row) for row in groups[k]]) for k in keys}
+    top = levels([trees[k][-1][0] for k in keys])
+    out = []
+    for n, k in enumerate(keys):
+        for i, row in enumerate(groups[k]):
+            own = hashed(row)
+            steps = path(trees[k], i) + path(top, n)
+            tampers = row[0] is not None and zlib.crc32(str(row[0]).encode()) % 3 == 0 and row[4] is not None
+            d = hashed((*row[:4], row[4].translate(_LOWER))) if tampers else own
+            for a, b in steps:
+                d = sha(a + d + b)
+            out.append((row[0], own, trees[k][-1][0], top[-1][0], sha("".join(a + b for a, b in steps)), d, d == top[-1][0]))
+    return out
+
+
+def hard_negatives(rows: list[tuple]) -> list[tuple]:
+    """Rows of (vec_id, embedding, label), by scoring all pairs in whole numbers."""
+    own: dict = {}
+    for i, v, label in rows:
+        if i is not None and label is not None and v and all(x is not None and np.isfinite(x) for x in v):
+            own[i, (label + 1) % 10 if i % 7 == 0 else label, tuple(int(np.floor(256 * x)) for x in v)] = True
+    out = []
+    for a, la, va in own:
+        if a % 100 == 0:
+            scored = sorted((-sum(x * y for x, y in zip(va, v, strict=True)), i, label == la) for i, label, v in own if i != a)
+            for sp, p, _ in [s for s in scored if s[2]][:5]:
+                fits = [s for s in scored if not s[2] and 30 * -sp <= 100 * -s[0] <= 90 * -sp][:10]
+                out.extend((a, p, rank, i, -sp, -s) for rank, (s, i, _) in enumerate(fits, 1))
+    return sorted(out)
