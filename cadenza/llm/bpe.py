@@ -31,6 +31,7 @@ import base64
 import bisect
 import hashlib
 from collections.abc import Iterator
+from functools import partial
 from itertools import accumulate
 
 import numpy as np
@@ -76,7 +77,9 @@ class Codec:
 
         with open(path, "rb") as f:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-        self.whole = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.whole = encoding.encode_ordinary
+        self._array = partial(encoding.encode_to_numpy, disallowed_special=())
         self.bytes = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             self.bytes[rank] = token
@@ -91,6 +94,10 @@ class Codec:
         middle = len(text) // 2
         return self.join(text[:middle], self.encode(text[:middle], leaf), text[middle:], self.encode(text[middle:], leaf))
 
+    def encoded(self, text: str) -> np.ndarray:
+        """The ids of text as an array; one that is no longer than a leaf never becomes a list."""
+        return (self._array(text) if len(text) <= LEAF_CHARS else np.array(self.encode(text))).astype(np.int32)
+
     def _upto(self, ids: list[int], size: int) -> int:
         """How many of the first ids are size bytes; they end there, as size is a place that cuts every text."""
         sums, k = 0, 0
@@ -166,6 +173,13 @@ def codec(path: str, pattern: str) -> Codec:
     return _known[path, pattern]
 
 
+def _lists(column: pa.Array) -> Iterator[np.ndarray]:
+    """The ids of each row; none where there is no list."""
+    ends, values = np.asarray(column.offsets), np.asarray(column.values)
+    for a, b, null in zip(ends[:-1].tolist(), ends[1:].tolist(), np.asarray(column.is_null()), strict=True):
+        yield values[a:a] if null else values[a:b]
+
+
 def reduce_tree(parts: list[tuple[str, list[int]]], own: Codec) -> list[int]:
     """The ids of the concatenation of parts, each (text, its ids): neighbours are joined level by level."""
     while len(parts) > 1:
@@ -185,7 +199,7 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None,
         for b in batches:
             for a in range(0, b.num_rows, BATCH_ROWS):
                 part = b.slice(a, BATCH_ROWS)
-                ids = [np.array(own.encode(t or ""), np.int32) for t in part.column(1).to_pylist()]
+                ids = [own.encoded(t or "") for t in part.column(1).to_pylist()]
                 offsets = np.cumsum([0, *map(len, ids)], dtype=np.int32)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))], ["doc_id", "ids"])
 
@@ -241,7 +255,7 @@ def decode(coded: DataFrame, path: str | None = None, pattern: str | None = None
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
         for b in batches:
-            texts = [own.decode(b.column(1)[i].as_py() or []) for i in range(b.num_rows)]
+            texts = [own.decode(x.tolist()) for x in _lists(b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.binary())], ["doc_id", "text"])
 
     return coded.select("doc_id", "ids").mapInArrow(run, f"doc_id {coded.schema['doc_id'].dataType.simpleString()}, text binary")
@@ -254,7 +268,7 @@ def digest(coded: DataFrame, path: str | None = None, pattern: str | None = None
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
         for b in batches:
-            rows = [own.digest(b.column(1)[i].as_py() or []) for i in range(b.num_rows)]
+            rows = [own.digest(x.tolist()) for x in _lists(b.column(1))]
             n, ids, text = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(text, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
