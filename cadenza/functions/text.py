@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 
@@ -82,10 +84,14 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
 
 
+def bound(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f of x, where x is computed once however often f uses it, in lambdas too."""
+    return F.transform(F.array(x), f)[0]
+
+
 def unit(v: Column) -> Column:
-    """v at length 1; null where it is zero."""
-    norm = F.sqrt(dot(v, v))
-    return F.when(norm > 0, F.transform(v, lambda x: x / norm))
+    """v at length 1, null where it is zero; its length is computed once for all components."""
+    return bound(v, lambda w: bound(F.sqrt(dot(w, w)), lambda n: F.when(n > 0, F.transform(w, lambda x: x / n))))
 
 
 def or_default(value: Column, default: float) -> Column:
