@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from datetime import UTC, datetime, timedelta
+
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import text
 from ..operators import ingest, linking, scoring
+from ..sources import shared, sinks
+from ..streaming import increments
 from . import canonical as c
 from .canonical import NOW, ORDERS_NOW
 from .queries import SCORED, SESSIONS, query
@@ -142,29 +146,59 @@ def _(e):
 
 @query("S17_playlist_sink", "SELECT user_id, track_id, (row_number() OVER (PARTITION BY user_id ORDER BY satisfaction DESC, track_id) - 1)::INT AS position, least(count(*) OVER (PARTITION BY user_id), 20) AS size FROM interactions QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY satisfaction DESC, track_id) <= 20", c.interactions)
 def _(i):
-    """A playlist's header with its track list, unfolded to positioned children."""
+    """Playlists written by groups of users as a header and a track list, a group written again, and read back as positioned children."""
+    spark, at = i.sparkSession, shared.path(i.sparkSession, "playlists")
     best = scoring.top_per(i, ["user_id"], [F.desc("satisfaction"), F.col("track_id")], 20)
-    lists = best.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("rank", "track_id"))).alias("x"))
-    return lists.select("user_id", F.size("x").cast("long").alias("size"), F.posexplode("x.track_id").alias("position", "track_id"))
+    lists = best.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("rank", "track_id"))).alias("x")).withColumn("part", F.pmod(F.xxhash64("user_id"), F.lit(8)).cast("int"))
+    made = lists.select("user_id", F.size("x").cast("long").alias("size"), F.col("x.track_id").alias("tracks"), "part")
+    stale = made.filter("part = 3").withColumn("tracks", F.array(F.lit("stale")))
+    sinks.replace_parts(made.filter("part != 3").unionByName(stale), at, "part")
+    sinks.replace_parts(made.filter("part = 3"), at, "part")
+    return sinks.read(spark, at, made).select("user_id", "size", F.posexplode("tracks").alias("position", "track_id"))
 
 
 @query("S18_audit_sink", "SELECT request_id, min(id) AS id, count(*) AS n FROM listen_events GROUP BY request_id", c.listen_events)
 def _(e):
-    """Requests written twice stay as they were."""
-    audits = e.groupBy("request_id").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
-    return ingest.only_new(audits.filter("id % 20 < 12"), audits, ["request_id"])
+    """Requests appended by day; those written twice stay as they were."""
+    at = shared.path(e.sparkSession, "audits")
+    audits = e.groupBy("request_id").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"), F.floor(F.min("ts") / 86400).alias("day"))
+    sinks.append_new(audits.filter("id % 20 < 12"), at, ["request_id"], "day")
+    sinks.append_new(audits.withColumn("n", F.when(F.col("id") % 20 < 12, -1).otherwise(F.col("n"))), at, ["request_id"], "day")
+    return sinks.read(e.sparkSession, at, audits).drop("day")
 
 
 @query("S20_snapshot_sink", "SELECT snapshot_date, scope, entry, score, CASE WHEN snapshot_date = DATE '1998-01-01' THEN 0 ELSE position END::INT AS position FROM chart_entries WHERE snapshot_date != DATE '1998-01-01' OR position <= 5", c.chart_entries)
 def _(ch):
-    """A day of a chart is replaced, other days are not touched."""
-    new = ch.filter("snapshot_date = DATE '1998-01-01' AND position <= 5").withColumn("position", F.lit(0))
-    return ingest.replaced(ch, new, ["snapshot_date", "scope"])
+    """A table of charts by day, of which one day is written anew; other days' files are not touched."""
+    at = shared.path(ch.sparkSession, "charts")
+    sinks.replace_parts(ch, at, "snapshot_date")
+    sinks.replace_parts(ch.filter("snapshot_date = DATE '1998-01-01' AND position <= 5").withColumn("position", F.lit(0)), at, "snapshot_date")
+    return sinks.read(ch.sparkSession, at, ch)
+
+
+@query("S21_retention_purge", f"SELECT id, ts FROM listen_events WHERE ts >= {NOW} - 86400 * 10", c.listen_events)
+def _(e):
+    """Days before the last ten are dropped as folders."""
+    spark, at = e.sparkSession, shared.path(e.sparkSession, "event-days")
+    own = e.select("id", "ts", F.date_format(F.timestamp_seconds("ts"), "yyyy-MM-dd").alias("day"))
+    sinks.replace_parts(own, at, "day")
+    sinks.retain(spark, at, "day", (datetime.fromtimestamp(NOW, UTC) - timedelta(days=10)).strftime("%Y-%m-%d"))
+    return sinks.read(spark, at, own).select("id", "ts")
 
 
-@query("S21_retention_purge", f"SELECT id, ts FROM listen_events WHERE ts >= {NOW} - 86400 * 365", c.listen_events)
+@query("S01_incremental_signals", "SELECT user_id, track_id, count_if(event_type = 'play_start')::BIGINT AS plays, count_if(event_type = 'like')::BIGINT AS likes, count_if(event_type = 'skip')::BIGINT AS skips, count_if(event_type = 'play_end' AND value >= 0.8)::BIGINT AS completed, max(ts) AS last_ts, min(ts) AS first_ts, max(id) AS last_id FROM listen_events GROUP BY ALL", c.listen_events)
 def _(e):
-    return e.filter(F.col("ts") >= NOW - 86400 * 365).select("id", "ts")
+    """Signals kept up to date by batches of ids: three increments, one of them added twice, and a fold between."""
+    table = increments.track_signals(shared.path(e.sparkSession, "signals"))
+    own = increments.with_day(e)
+    batch = F.pmod(F.floor(F.col("id") / 5000), F.lit(3))
+    table.add(own.filter(batch == 0), 0)
+    table.add(own.filter(batch == 1), 1)
+    table.fold(e.sparkSession)
+    table.add(own.filter(batch == 1), 1)
+    table.add(own.filter(batch == 2), 2)
+    table.add(own.filter(batch == 2), 2)
+    return table.read(e.sparkSession).drop("days")
 
 
 @query("S22_purge_with_children", f"SELECT e.id, e.request_id FROM listen_events e WHERE request_id IN (SELECT request_id FROM listen_events GROUP BY request_id HAVING max(ts) >= {NOW} - 86400 * 10)", c.listen_events)
