@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import fuzzy, text
-from ..operators import chains, linking, scoring, sessions, vectors
+from ..operators import chains, linking, radio, scoring, sessions, vectors
 from . import canonical as c, matching, recommend
 from .canonical import NOW
 from .queries import SESSIONS, query
@@ -13,30 +13,57 @@ from .queries import SESSIONS, query
 events, tracks, plays, library_vectors = c.listen_events, c.track_features, c.interactions, c.track_vectors
 
 
-def pools(t: DataFrame, v: DataFrame) -> DataFrame:
-    """A pool for each mode: its first chains.POOL embedded tracks by id."""
-    made = t.join(v, "track_id").withColumn("place", text.wheel_place(F.col("key"), F.col("mode"))).withColumn("pool", F.col("mode"))
-    return scoring.top_per(made, ["pool"], [F.col("track_id")], chains.POOL).drop("rank")
+#: The playlists asked for, as a listener would: by a first track, by curves, by two ends.
+SEEDS, CURVES, ENDS = ["p0", "p20", "p60", "p700"], ["ramp_up", "ramp_up_cool_down", "steady_low"], [("p0", "p60"), ("p20", "p140")]
+_LIB = f"""{recommend._UNIT}, wheel AS (SELECT * FROM (VALUES {", ".join(f"('{k}', {text.WHEEL_MAJOR[n]}, {text.WHEEL_MINOR[n]})" for n, k in enumerate(text.PITCHES))}) AS w(key, major, minor)),
+lib AS (SELECT track_id, CASE WHEN coalesce(bpm, 0) = 0 THEN 120.0::DOUBLE ELSE bpm END AS bpm, CASE WHEN coalesce(energy, 0) = 0 THEN 0.5::DOUBLE ELSE energy END AS energy, CASE WHEN mode = 'minor' THEN minor ELSE major END AS place, mode, u FROM track_features LEFT JOIN wheel USING (key) LEFT JOIN units USING (track_id))"""
+_LIKE = "coalesce(list_dot_product(t.u, n.u), 0.5)"
 
 
-@query("D21_flow_playlist", None, tracks, library_vectors)
+def _chain_sql(score: str, fits: str) -> str:
+    """A chain from each seed; the key of the last track that has one holds on."""
+    return f"""{_LIB}, chain(chain, position, track_id, place, mode, used) AS (SELECT track_id, 0, track_id, place, mode, [track_id] FROM lib WHERE track_id IN {tuple(SEEDS)}
+UNION ALL SELECT chain, position + 1, b.id, coalesce(b.place, place), CASE WHEN b.place IS NULL THEN mode ELSE b.mode END, list_append(used, b.id) FROM (SELECT c.chain, c.position, c.used, c.place, c.mode, min({{'cost': -round({score}, 9), 'id': t.track_id, 'place': t.place, 'mode': t.mode}}) AS b
+  FROM chain c JOIN lib n ON n.track_id = c.track_id JOIN lib t ON NOT list_contains(c.used, t.track_id) WHERE c.position < 19 AND {fits} GROUP BY c.chain, c.position, c.used, c.place, c.mode) WHERE b.cost < 1)
+SELECT chain, position, track_id FROM chain"""
+
+
+_STEP = "least((t.place - c.place + 12) % 12, (c.place - t.place + 12) % 12)"
+_APART = f"CASE WHEN t.mode = c.mode THEN {_STEP} WHEN {_STEP} = 0 THEN 0 WHEN {_STEP} IS NULL THEN NULL ELSE 99 END"
+
+
+@query("D21_flow_playlist", _chain_sql(f"{_LIKE} * CASE WHEN abs(t.bpm - n.bpm) <= 8 THEN 1 ELSE 0.7::DOUBLE END * CASE WHEN abs(t.energy - n.energy) <= 0.15::DOUBLE THEN 1 ELSE 0.7::DOUBLE END", "abs(t.bpm - n.bpm) <= 15 AND abs(t.energy - n.energy) <= 0.25::DOUBLE"), tracks, library_vectors)
 def _(t, v):
-    return chains.built(pools(t, v), chains.flow)
+    return chains.flow(chains.library(t, v), SEEDS)
 
 
-@query("D22_path_playlist", None, tracks, library_vectors)
+@query("D25_key_playlist", _chain_sql(f"{_LIKE} * CASE WHEN {_APART} IS NULL THEN 0.3::DOUBLE WHEN {_APART} <= 1 THEN 1 ELSE 0.6::DOUBLE END", f"({_APART} IS NULL OR {_APART} <= 2)"), tracks, library_vectors)
 def _(t, v):
-    return chains.built(pools(t, v), chains.path)
+    return chains.keys(chains.library(t, v), SEEDS)
+
 
+_TARGETS = ", ".join(f"('{c}', {k}, {x!r}::DOUBLE)" for c in CURVES for k, x in enumerate(chains.targets(c, 20)))
 
-@query("D24_energy_curve_playlist", None, tracks, library_vectors)
+
+@query("D24_energy_curve_playlist", f"""{_LIB}, wanted AS (SELECT * FROM (VALUES {_TARGETS}) AS w(chain, k, target)), line(chain, position, track_id, used) AS (SELECT chain, -1, ''::VARCHAR, []::VARCHAR[] FROM wanted WHERE k = 0
+UNION ALL SELECT chain, position + 1, b.id, list_append(used, b.id) FROM (SELECT c.chain, c.position, c.used, min({{'cost': round(abs(t.energy - w.target) - 0.1::DOUBLE * coalesce(list_dot_product(t.u, n.u), 0), 9), 'id': t.track_id}}) AS b
+  FROM line c JOIN wanted w ON w.chain = c.chain AND w.k = c.position + 1 LEFT JOIN lib n ON n.track_id = c.track_id JOIN lib t ON NOT list_contains(c.used, t.track_id) GROUP BY c.chain, c.position, c.used))
+SELECT chain, position, track_id FROM line WHERE position >= 0""", tracks, library_vectors)
 def _(t, v):
-    return chains.built(pools(t, v), chains.curve, name="peak")
+    return chains.curve(chains.library(t, v), CURVES)
+
+
+_ENDS = ", ".join(f"('{a}', '{b}')" for a, b in ENDS)
 
 
-@query("D25_key_playlist", None, tracks, library_vectors)
+@query("D22_path_playlist", f"""{_LIB}, ends AS (SELECT e.a || '>' || e.b AS chain, e.a, e.b, x.u AS ua, y.u AS ub, acos(list_dot_product(x.u, y.u)) AS angle FROM (VALUES {_ENDS}) AS e(a, b) JOIN lib x ON x.track_id = e.a JOIN lib y ON y.track_id = e.b),
+points AS (SELECT chain, a, b, k, list_transform(list_zip(ua, ub), lambda z: (sin((1 - k / 11.0::DOUBLE) * angle) * z[1] + sin(k / 11.0::DOUBLE * angle) * z[2]) / sin(angle)) AS p FROM ends, range(1, 11) AS r(k)),
+line(chain, position, track_id, used) AS (SELECT chain, 0, a, [a, b] FROM ends
+UNION ALL SELECT chain, position + 1, b.id, list_append(used, b.id) FROM (SELECT c.chain, c.position, c.used, min({{'cost': -round(list_dot_product(t.u, w.p), 9), 'id': t.track_id}}) AS b
+  FROM line c JOIN points w ON w.chain = c.chain AND w.k = c.position + 1 JOIN lib t ON t.u IS NOT NULL AND NOT list_contains(c.used, t.track_id) GROUP BY c.chain, c.position, c.used))
+SELECT chain, position, track_id FROM line UNION ALL SELECT chain, 11, b FROM ends""", tracks, library_vectors)
 def _(t, v):
-    return chains.built(pools(t, v), chains.keys)
+    return chains.path(chains.library(t, v), ENDS)
 
 
 @query("D26_text_playlist", f"{recommend._UNIT} SELECT a.track_id, row_number() OVER (ORDER BY round(list_dot_product(a.u, b.u), 9) DESC, a.track_id)::INT AS position FROM units a, units b WHERE b.track_id = 'p5' QUALIFY position <= 20", library_vectors)
@@ -45,9 +72,9 @@ def _(v):
     return best.select("track_id", F.row_number().over(Window.orderBy(F.desc(F.round("score", 9)), "track_id")).alias("position"))
 
 
-@query("W16_no_runs_of_an_artist", None, plays, tracks, c.similar_edges, library_vectors)
-def _(i, t, x, v):
-    shown = recommend.reranked(i, t, x, v).filter("slot <= 40").select("user_id", "track_id", "artist", "slot")
+@query("W16_no_runs_of_an_artist", None, plays, tracks, c.similar_edges, library_vectors, events)
+def _(i, t, x, v, e):
+    shown = recommend.reranked(i, t, x, v, e).filter("slot <= 40").select("user_id", "track_id", "artist", "slot")
     return shown.groupBy("user_id").applyInPandas(lambda p: chains.without_runs(p), "user_id string, track_id string, spot int")
 
 
@@ -64,24 +91,50 @@ def drift(e: DataFrame, v: DataFrame) -> DataFrame:
     return lists.select("user_id", text.unit(F.col("p.s")).alias("v"))
 
 
-@query("ST10_drift", f"{_FEEDBACK} SELECT user_id, round(d[1] / sqrt(list_dot_product(d, d)), 5) AS head FROM drift", events, library_vectors)
+#: How far discovery goes on each device, as a listener would set the dial.
+_DIAL = {"phone": radio.BALANCED, "car": 0.0, "speaker": 0.6}
+_RADIO = f"""kinds AS (SELECT *, CASE event_type WHEN 'like' THEN 1.5::DOUBLE WHEN 'dislike' THEN -0.5 WHEN 'skip' THEN -0.25 END AS weight, CASE device_type WHEN 'car' THEN 0.0::DOUBLE WHEN 'speaker' THEN 0.6 ELSE 0.3 END AS dial FROM listen_events WHERE event_type IN ('play_start', 'like', 'dislike', 'skip')),
+fresh AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, id) <= 14400 THEN 0 ELSE 1 END AS begins FROM kinds),
+own AS (SELECT *, (sum(begins) OVER (PARTITION BY user_id ORDER BY ts, id ROWS UNBOUNDED PRECEDING))::BIGINT AS session_no FROM fresh),
+aged AS (SELECT *, weight * power(0.9::DOUBLE, count(weight) OVER (PARTITION BY user_id, session_no ORDER BY ts DESC, id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) AS w FROM own),
+heard AS (SELECT user_id, session_no, list(track_id ORDER BY ts, id) AS heard FROM (SELECT * FROM own WHERE event_type = 'play_start' QUALIFY row_number() OVER (PARTITION BY user_id, session_no ORDER BY ts DESC, id DESC) <= 50) GROUP BY ALL),
+header AS (SELECT user_id, session_no, max(ts) AS last_active, count(weight)::BIGINT AS feedback, greatest(0, 1 + arg_max(dial, ts * 10000000 + id) - 0.3) AS scale FROM own GROUP BY ALL),
+base AS (SELECT user_id, session_no, arg_min(u, ts * 10000000 + id) AS b FROM own JOIN units USING (track_id) WHERE event_type = 'play_start' GROUP BY ALL),
+long AS (SELECT user_id, session_no, w, unnest(u) AS x, generate_subscripts(u, 1) AS nth FROM aged JOIN units USING (track_id) WHERE w IS NOT NULL),
+moved AS (SELECT user_id, session_no, list(s ORDER BY nth) AS m FROM (SELECT user_id, session_no, nth, sum(w * x) AS s FROM long GROUP BY ALL) GROUP BY ALL),
+sums AS (SELECT user_id, session_no, last_active, feedback, heard, CASE WHEN m IS NULL OR b IS NULL THEN b ELSE list_transform(list_zip(b, m), lambda z: z[1] + z[2] * 0.3 * scale) END AS d FROM header LEFT JOIN heard USING (user_id, session_no) LEFT JOIN base USING (user_id, session_no) LEFT JOIN moved USING (user_id, session_no)),
+drifts AS (SELECT *, list_transform(d, lambda x: x / sqrt(list_dot_product(d, d))) AS v FROM sums)"""
+
+
+def radio_sessions(e: DataFrame, v: DataFrame) -> DataFrame:
+    dial = F.coalesce(*[F.when(F.col("device_type") == d, F.lit(x)) for d, x in _DIAL.items()], F.lit(radio.BALANCED))
+    return radio.fold(e, v, dial)
+
+
+@query("ST10_drift", f"{recommend._UNIT}, {_RADIO} SELECT user_id, session_no, round(v[1], 5) AS head, round(v[2], 5) AS second FROM drifts", events, library_vectors)
 def _(e, v):
-    return drift(e, v).select("user_id", F.round(F.element_at("v", 1), 5).alias("head"))
+    """Where feedback has moved each radio session, from its first track with a vector on."""
+    return radio_sessions(e, v).select("user_id", "session_no", F.round(F.get("v", F.lit(0)), 5).alias("head"), F.round(F.get("v", F.lit(1)), 5).alias("second"))
 
 
-@query("ST09_radio_state", f"SELECT user_id, arg_max(track_id, ts * 1000000 + id) AS seed, count(*) AS feedback, list_sort(list(DISTINCT track_id))[1:50] AS heard FROM listen_events WHERE ts >= {NOW} - 86400 * 4 AND event_type IN ('like', 'skip', 'play_start') GROUP BY user_id", events)
-def _(e):
-    """What a radio session holds: its last seed, feedback, and at most fifty tracks heard."""
-    own = e.filter("event_type IN ('like', 'skip', 'play_start')").filter(F.col("ts") >= NOW - 86400 * 4)
-    return own.groupBy("user_id").agg(F.max_by("track_id", F.struct("ts", "id")).alias("seed"), F.count(F.lit(1)).alias("feedback"), F.slice(F.array_sort(F.collect_set("track_id")), 1, 50).alias("heard"))
+@query("ST09_radio_state", f"{recommend._UNIT}, {_RADIO} SELECT user_id, session_no, last_active, feedback, coalesce(heard, []) AS heard FROM drifts", events, library_vectors)
+def _(e, v):
+    """What a radio session holds: its last event, feedback, and the last fifty tracks heard in order."""
+    return radio_sessions(e, v).select("user_id", "session_no", "last_active", "feedback", "heard")
 
 
-@query("D18_radio_batch", f"{_FEEDBACK}, near AS (SELECT user_id, track_id, round(list_dot_product(d, u) / sqrt(list_dot_product(d, d)), 9) AS s FROM drift, units WHERE user_id IN {recommend._USERS}), cool AS (SELECT user_id, track_id, count(*) AS n FROM listen_events WHERE event_type = 'reco_impression' GROUP BY ALL), blended AS (SELECT near.user_id, near.track_id, round(s * greatest(1 - coalesce(n, 0) / 6.0::DOUBLE, 0.5), 8) AS score FROM near LEFT JOIN cool USING (user_id, track_id)) SELECT user_id, track_id, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, track_id)::INT AS place FROM blended QUALIFY place <= 10", events, library_vectors)
+@query("ST09_open_sessions", f"{recommend._UNIT}, {_RADIO} SELECT user_id, session_no, last_active FROM drifts WHERE last_active >= {NOW} - 14400 ORDER BY last_active DESC, user_id LIMIT 50", events, library_vectors)
+def _(e, v):
+    """The sessions that are still open, at most fifty: those active last."""
+    return radio_sessions(e, v).filter(F.col("last_active") >= NOW - radio.TTL_S).orderBy(F.desc("last_active"), "user_id").limit(50).select("user_id", "session_no", "last_active")
+
+
+@query("D18_radio_batch", f"{_FEEDBACK}, near AS (SELECT user_id, track_id, round(list_dot_product(d, u) / sqrt(list_dot_product(d, d)), 9) AS s FROM drift, units), cool AS (SELECT user_id, track_id, count(*) AS n FROM listen_events WHERE event_type = 'reco_impression' GROUP BY ALL), blended AS (SELECT near.user_id, near.track_id, round(s * greatest(1 - coalesce(n, 0) / 6.0::DOUBLE, 0.5), 8) AS score FROM near LEFT JOIN cool USING (user_id, track_id)) SELECT user_id, track_id, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, track_id)::INT AS place FROM blended QUALIFY place <= 10", events, library_vectors)
 def _(e, v):
     """The ten next of each asked session: likeness to its drift, less for what was served before."""
-    asked = recommend.some(drift(e, v)).select("user_id", F.col("v").alias("d"))
+    asked = drift(e, v).select("user_id", F.col("v").alias("d"))
     near = v.select("track_id", text.unit(F.col("v")).alias("u")).join(F.broadcast(asked)).select("user_id", "track_id", F.round(text.dot(F.col("d"), F.col("u")), 9).alias("s"))
-    served = recommend.some(e).filter("event_type = 'reco_impression'").groupBy("user_id", "track_id").agg(F.count(F.lit(1)).alias("n"))
+    served = e.filter("event_type = 'reco_impression'").groupBy("user_id", "track_id").agg(F.count(F.lit(1)).alias("n"))
     blended = near.join(served, ["user_id", "track_id"], "left").withColumn("score", F.round(F.col("s") * F.greatest(1 - F.coalesce("n", F.lit(0)) / 6.0, F.lit(0.5)), 8))
     return scoring.top_per(blended, ["user_id"], [F.desc("score"), F.col("track_id")], 10).select("user_id", "track_id", F.col("rank").alias("place"))
 
@@ -114,15 +167,19 @@ def match_score(artist: F.Column, album: F.Column, tracks_apart: F.Column, years
     """Half the artist, two fifths the album, a twentieth each for the count of tracks and the year; null where too far off."""
     close = lambda x: F.greatest(1 - x / 5.0, F.lit(0.0))
     score = 0.50 * artist + 0.40 * album + 0.05 * close(tracks_apart) + 0.05 * close(years_apart)
-    return F.when((artist >= 0.85) & (album >= 0.80), score)
+    return F.when((artist >= ARTIST) & (album >= ALBUM), score)
+
+
+ARTIST, ALBUM = 0.85, 0.80
 
 
 def matches(t: DataFrame, x: DataFrame) -> DataFrame:
-    """target, server_id, score of hits for each album of the library, compared within one brand."""
+    """target, server_id, score of hits for each album of the library: names that can be like enough are found by their rare character pairs."""
     albums = t.groupBy("artist", "album").agg(F.count(F.lit(1)).alias("tracks"))
-    hits = x.select("server_id", F.col("artist").alias("hit_artist"), F.col("album").alias("hit_album"), F.split("album", " ")[0].alias("brand"), "duration")
-    both = albums.join(hits, F.col("brand") == F.col("artist"))
-    score = match_score(fuzzy.ratio("artist", "hit_artist"), fuzzy.ratio("album", "hit_album"), F.abs(F.col("tracks") - F.col("duration") % 12), F.col("duration") % 3)
+    hits = x.select("server_id", F.col("artist").alias("hit_artist"), F.col("album").alias("hit_album"), "duration")
+    like = lambda name, least: fuzzy.joined(albums.select(F.col(name).alias("s")), hits.select(F.col(f"hit_{name}").alias("s")), least).toDF(name, f"hit_{name}", f"{name}_ratio")
+    both = albums.join(like("album", ALBUM), "album").join(hits, "hit_album").join(like("artist", ARTIST), ["artist", "hit_artist"])
+    score = match_score(F.col("artist_ratio"), F.col("album_ratio"), F.abs(F.col("tracks") - F.col("duration") % 12), F.col("duration") % 3)
     return both.select(F.concat_ws("/", "artist", "album").alias("target"), "server_id", score.alias("score"))
 
 

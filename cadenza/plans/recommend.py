@@ -5,20 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import text
-from ..operators import linking, ranking, scoring, vectors
-from . import canonical as c
+from ..operators import ivf, linking, ranking, recommending, scoring, vectors
+from ..sources import shared
+from . import canonical as c, profiles
 from .canonical import NOW, ORDERS_NOW
 from .queries import query
 
 events, tracks, plays, edges, library_vectors = c.listen_events, c.track_features, c.interactions, c.similar_edges, c.track_vectors
-#: Weights of candidate sources, in the order of their priority.
-SOURCES = {"content": 1.0, "cf": 1.0, "external": 0.7, "popular": 0.3, "artist": 0.2}
-
 _UNIT = "units AS (SELECT track_id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS u FROM track_vectors)"
 _TASTE = f"""{_UNIT}, best AS (SELECT user_id, track_id, satisfaction FROM interactions JOIN units USING (track_id) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY satisfaction DESC, track_id) <= 10),
 parts AS (SELECT user_id, unnest(v) AS x, generate_subscripts(v, 1) AS nth FROM best JOIN track_vectors USING (track_id)), means AS (SELECT user_id, list(m ORDER BY nth) AS m FROM (SELECT user_id, nth, avg(x) AS m FROM parts GROUP BY ALL) GROUP BY user_id),
 taste AS (SELECT user_id, list_transform(m, lambda x: x / sqrt(list_dot_product(m, m))) AS t FROM means)"""
-_USERS = "('u1', 'u2', 'u4', 'u5', 'u7')"
 
 
 def taste(i: DataFrame, v: DataFrame) -> DataFrame:
@@ -27,19 +24,17 @@ def taste(i: DataFrame, v: DataFrame) -> DataFrame:
     return vectors.mean(best.join(v.select("track_id", "v"), "track_id"), ["user_id"]).select("user_id", F.col("v").alias("t"))
 
 
-def some(df: DataFrame) -> DataFrame:
-    """The users that recommendations are asked for."""
-    return df.filter(f"user_id IN {_USERS}")
+def _content_sql(k: int, name: str = "content") -> str:
+    return f"{_TASTE}, scored AS (SELECT t.user_id, u.track_id, round(list_dot_product(t.t, u.u), 9) AS score FROM taste t, units u), {name} AS (SELECT user_id, track_id, score FROM scored QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY score DESC, track_id) <= {k})"
 
 
-_CONTENT = f"{_TASTE}, scored AS (SELECT t.user_id, u.track_id, round(list_dot_product(t.t, u.u), 9) AS score FROM taste t, units u WHERE t.user_id IN {_USERS}), content AS (SELECT user_id, track_id, score FROM scored QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY score DESC, track_id) <= 30)"
+_CONTENT = _content_sql(30)
 
 
 def content(i: DataFrame, v: DataFrame, k: int = 30) -> DataFrame:
-    """The k tracks nearest the taste of each asked user."""
-    asked = F.broadcast(taste(some(i), v))
-    scored = v.select("track_id", text.unit(F.col("v")).alias("u")).join(asked).select("user_id", "track_id", F.round(text.dot(F.col("t"), F.col("u")), 9).alias("score"))
-    return scoring.top_per(scored, ["user_id"], [F.desc("score"), F.col("track_id")], k).drop("rank")
+    """The k tracks nearest the taste of each user, through the index."""
+    asked = taste(i, v).select(F.col("user_id").alias("query"), F.col("t").alias("v"))
+    return ivf.search(ivf.build(v), asked, k).select(F.col("query").alias("user_id"), "track_id", "score")
 
 
 @query("D07_content_candidates", f"{_CONTENT} SELECT user_id, track_id, round(score, 6) AS score FROM content", plays, library_vectors)
@@ -47,15 +42,16 @@ def _(i, v):
     return content(i, v)
 
 
-_ARTIST = f"recent AS (SELECT user_id, regexp_extract(file_path, '^(.*)/', 1) AS dir FROM interactions JOIN track_features USING (track_id) WHERE user_id IN {_USERS} QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY last_played_at DESC, track_id) <= 20), artist AS (SELECT DISTINCT user_id, track_id FROM (SELECT DISTINCT user_id, dir FROM recent) r JOIN track_features t ON regexp_extract(t.file_path, '^(.*)/', 1) = r.dir WHERE (user_id, track_id) NOT IN (SELECT user_id, track_id FROM interactions))"
+_ARTIST = "recent AS (SELECT user_id, regexp_extract(file_path, '^(.*)/', 1) AS dir FROM interactions JOIN track_features USING (track_id) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY last_played_at DESC, track_id) <= 20), artist AS (SELECT user_id, track_id FROM (SELECT DISTINCT user_id, track_id FROM (SELECT DISTINCT user_id, dir FROM recent) r JOIN track_features t ON regexp_extract(t.file_path, '^(.*)/', 1) = r.dir WHERE NOT EXISTS (SELECT 1 FROM interactions i WHERE i.user_id = r.user_id AND i.track_id = t.track_id)) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY track_id) <= 50)"
 
 
-def same_folder(i: DataFrame, t: DataFrame) -> DataFrame:
-    """Tracks unheard in the folders of each user's twenty latest."""
+def same_folder(i: DataFrame, t: DataFrame, k: int = 50) -> DataFrame:
+    """Tracks unheard in the folders of each user's twenty latest, k at most."""
     folder = F.regexp_extract("file_path", "^(.*)/", 1).alias("dir")
-    recent = scoring.top_per(some(i), ["user_id"], [F.desc("last_played_at"), F.col("track_id")], 20)
+    recent = scoring.top_per(i, ["user_id"], [F.desc("last_played_at"), F.col("track_id")], 20)
     dirs = recent.join(t.select("track_id", folder), "track_id").select("user_id", "dir").distinct()
-    return t.select("track_id", folder).join(F.broadcast(dirs), "dir").select("user_id", "track_id").distinct().join(i, ["user_id", "track_id"], "left_anti")
+    unheard = t.select("track_id", folder).join(dirs, "dir").select("user_id", "track_id").distinct().join(i, ["user_id", "track_id"], "left_anti")
+    return scoring.top_per(unheard, ["user_id"], [F.col("track_id")], k).select("user_id", "track_id")
 
 
 @query("D08_artist_recall", f"{_ARTIST} SELECT user_id, track_id FROM artist", plays, tracks)
@@ -63,13 +59,14 @@ def _(i, t):
     return same_folder(i, t)
 
 
-_EXTERNAL = f"external AS (SELECT user_id, e.track_id, max(e.score) AS score FROM interactions i JOIN similar_edges e ON e.source = i.track_id WHERE user_id IN {_USERS} AND i.like_count > 0 GROUP BY ALL)"
+_EXTERNAL = "external AS (SELECT * FROM (SELECT user_id, e.track_id, max(e.score) AS score FROM interactions i JOIN similar_edges e ON e.source = i.track_id WHERE i.like_count > 0 GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY round(score, 9) DESC, track_id) <= 100)"
 
 
-def related(i: DataFrame, x: DataFrame) -> DataFrame:
-    """What an outside service relates to liked tracks, by the best score over them."""
-    liked = some(i).filter("like_count > 0").select("user_id", F.col("track_id").alias("source"))
-    return x.join(liked, "source").groupBy("user_id", "track_id").agg(F.max("score").alias("score"))
+def related(i: DataFrame, x: DataFrame, k: int = 100) -> DataFrame:
+    """What an outside service relates to liked tracks, by the best score over them, k at most."""
+    liked = i.filter("like_count > 0").select("user_id", F.col("track_id").alias("source"))
+    best = x.join(liked, "source").groupBy("user_id", "track_id").agg(F.max("score").alias("score"))
+    return scoring.top_per(best, ["user_id"], [F.desc(F.round("score", 9)), F.col("track_id")], k).drop("rank")
 
 
 @query("D09_external_candidates", f"{_EXTERNAL} SELECT user_id, track_id, round(score, 6) AS score FROM external", plays, edges)
@@ -77,24 +74,34 @@ def _(i, x):
     return related(i, x)
 
 
-_POPULAR = f"popular AS (SELECT u.user_id, p.track_id, p.score FROM (SELECT DISTINCT user_id FROM interactions WHERE user_id IN {_USERS}) u, (SELECT track_id, sum(play_count)::DOUBLE AS score FROM interactions GROUP BY track_id ORDER BY score DESC, track_id LIMIT 40) p)"
+_POPULAR = "popular AS (SELECT u.user_id, p.track_id FROM (SELECT DISTINCT user_id FROM interactions) u, (SELECT track_id FROM interactions GROUP BY track_id ORDER BY sum(play_count) DESC, track_id LIMIT 50) p)"
 _OUT = "banned AS (SELECT user_id, track_id FROM interactions WHERE dislike_count > 0 OR early_skip_count > 2)"
-_UNION = f"""{_CONTENT}, {_ARTIST}, {_EXTERNAL}, {_POPULAR}, {_OUT},
-every AS (SELECT user_id, track_id, 'content' AS source, 0 AS priority, score, 1.0::DOUBLE AS w FROM content UNION ALL SELECT user_id, track_id, 'external', 2, score, 0.7 FROM external UNION ALL SELECT user_id, track_id, 'popular', 3, score, 0.3 FROM popular UNION ALL SELECT user_id, track_id, 'artist', 4, 0, 0.2 FROM artist),
+_UNION = f"""{_content_sql(100)}, {_ARTIST}, {_EXTERNAL}, {_POPULAR}, {_OUT},
+every AS (SELECT user_id, track_id, 'content' AS source, 0 AS priority, score FROM content UNION ALL SELECT user_id, track_id, 'external', 4, score * 0.7::DOUBLE FROM external UNION ALL SELECT user_id, track_id, 'artist', 5, 0.2::DOUBLE FROM artist UNION ALL SELECT user_id, track_id, 'popular', 6, 0.3::DOUBLE FROM popular),
 allowed AS (SELECT e.* FROM every e WHERE NOT EXISTS (SELECT 1 FROM banned b WHERE b.user_id = e.user_id AND b.track_id = e.track_id)),
-merged AS (SELECT * FROM allowed QUALIFY row_number() OVER (PARTITION BY user_id, track_id ORDER BY priority, track_id) = 1)"""
+merged AS (SELECT * FROM allowed QUALIFY row_number() OVER (PARTITION BY user_id, track_id ORDER BY priority) = 1)"""
+
+
+def banned(i: DataFrame) -> DataFrame:
+    return i.filter("dislike_count > 0 OR early_skip_count > 2").select("user_id", "track_id")
+
+
+def sources(i: DataFrame, t: DataFrame, x: DataFrame, v: DataFrame) -> dict[str, DataFrame]:
+    """user_id, track_id, score of the sources that need no trained model."""
+    popular = i.groupBy("track_id").agg(F.sum("play_count").alias("p")).orderBy(F.desc("p"), "track_id").limit(50).select("track_id")
+    users = i.select("user_id").distinct()
+    one = F.lit(1.0).alias("score")
+    return {"content": content(i, v, 100), "external": related(i, x), "artist": same_folder(i, t).select("user_id", "track_id", one), "popular": users.join(F.broadcast(popular)).select("user_id", "track_id", one)}
 
 
 def united(i: DataFrame, t: DataFrame, x: DataFrame, v: DataFrame) -> DataFrame:
-    """All candidates of the asked users with source, priority and weight, without what they dislike."""
-    popular = i.groupBy("track_id").agg(F.sum("play_count").cast("double").alias("score")).orderBy(F.desc("score"), "track_id").limit(40)
-    parts = {"content": content(i, v), "external": related(i, x), "popular": some(i).select("user_id").distinct().join(F.broadcast(popular)), "artist": same_folder(i, t).withColumn("score", F.lit(0.0))}
+    """All candidates with source and priority, without what a user dislikes."""
     every = None
-    for source, part in parts.items():
-        rows = part.select("user_id", "track_id", F.lit(source).alias("source"), F.lit(list(SOURCES).index(source)).alias("priority"), "score", F.lit(SOURCES[source]).alias("w"))
-        every = rows if every is None else every.unionByName(rows)
-    banned = some(i).filter("dislike_count > 0 OR early_skip_count > 2").select("user_id", "track_id")
-    return every.join(F.broadcast(banned), ["user_id", "track_id"], "left_anti")
+    for n, name in enumerate(recommending.WEIGHTS):
+        if name in (own := sources(i, t, x, v)):
+            rows = own[name].select("user_id", "track_id", F.lit(name).alias("source"), F.lit(n).alias("priority"))
+            every = rows if every is None else every.unionByName(rows)
+    return every.join(banned(i), ["user_id", "track_id"], "left_anti")
 
 
 @query("U02_union_of_sources", f"{_UNION} SELECT source, count(*) AS n FROM allowed GROUP BY source", plays, tracks, edges, library_vectors)
@@ -112,46 +119,85 @@ def _(i, t, x, v):
     return ranking.first_source_wins(united(i, t, x, v), ["user_id", "track_id"], ["priority"]).groupBy("user_id", "source").agg(F.count(F.lit(1)).alias("n"))
 
 
-_TOP = f"{_UNION}, ranked AS (SELECT user_id, track_id, source, priority, w, row_number() OVER (PARTITION BY user_id ORDER BY w DESC, priority, track_id) AS place FROM merged)"
+_TOP = f"{_UNION}, ranked AS (SELECT user_id, track_id, source, priority, score, row_number() OVER (PARTITION BY user_id ORDER BY round(score, 9) DESC, priority, track_id) AS place FROM merged)"
 
 
 def merged(i: DataFrame, t: DataFrame, x: DataFrame, v: DataFrame, k: int = 60) -> DataFrame:
-    """The first k candidates of each user, by weight, priority and id, with their place."""
-    one = ranking.first_source_wins(united(i, t, x, v), ["user_id", "track_id"], ["priority"])
-    return scoring.top_per(one, ["user_id"], [F.desc("w"), F.col("priority"), F.col("track_id")], k).withColumnRenamed("rank", "place")
+    """The k candidates of each user by weighted score, with their place; kept as a table, as several steps read it."""
+    return shared.stored(recommending.merge(sources(i, t, x, v), banned(i), k), "candidates")
 
 
-@query("D10_merged_candidates", f"{_TOP} SELECT user_id, track_id, source, place::INT AS place FROM ranked WHERE place <= 60", plays, tracks, edges, library_vectors)
+@query("D10_merged_candidates", f"{_TOP} SELECT user_id, track_id, source, round(score, 6) AS score, place::INT AS place FROM ranked WHERE place <= 60", plays, tracks, edges, library_vectors)
 def _(i, t, x, v):
-    return merged(i, t, x, v).select("user_id", "track_id", "source", "place")
+    return merged(i, t, x, v).select("user_id", "track_id", "source", "score", "place")
 
 
-@query("T10_stable_sort", f"{_UNION} SELECT user_id, track_id, row_number() OVER (PARTITION BY user_id ORDER BY w DESC, priority, track_id)::INT AS n FROM merged QUALIFY n <= 25", plays, tracks, edges, library_vectors)
+@query("T10_stable_sort", f"{_TOP} SELECT user_id, track_id, place::INT AS n FROM ranked WHERE place <= 25", plays, tracks, edges, library_vectors)
 def _(i, t, x, v):
     return merged(i, t, x, v, 25).select("user_id", "track_id", F.col("place").alias("n"))
 
 
-_FEATURES = f"""{_TOP}, pop AS (SELECT track_id, sum(play_count) AS popularity FROM interactions GROUP BY track_id),
-features AS (SELECT r.user_id, r.track_id, r.place, r.w, t.bpm / 200.0 AS bpm, CASE WHEN t.energy = 0 THEN 0.5 ELSE coalesce(t.energy, 0.5) END AS energy, t.valence, t.artist, t.duration_ms, coalesce(p.popularity, 0) AS popularity, coalesce(i.play_count, 0) AS plays, coalesce(i.skip_count, 0) AS skips, coalesce(i.like_count, 0) AS likes,
-  CASE WHEN coalesce(i.satisfaction, 0) = 0 THEN 0.5 ELSE i.satisfaction END AS satisfaction, coalesce(i.last_played_at, 0) AS last_played_at
-  FROM ranked r JOIN track_features t ON t.track_id = r.track_id LEFT JOIN pop p ON p.track_id = r.track_id LEFT JOIN interactions i ON i.user_id = r.user_id AND i.track_id = r.track_id WHERE place <= 60)"""
+#: What a list is asked for with; plays count as recent for longer than a live system's two hours and a day.
+CONTEXT, REPEAT_S, SKIPPED_S = recommending.Context(ORDERS_NOW), 86400 * 1250, 86400 * 1700
 
 
-def features(i: DataFrame, t: DataFrame, x: DataFrame, v: DataFrame) -> DataFrame:
-    """The feature columns of each candidate; a missing or zero satisfaction or energy is one half."""
-    few = merged(i, t, x, v)
-    pop = i.groupBy("track_id").agg(F.sum("play_count").alias("popularity"))
-    own = some(i).select("user_id", "track_id", F.col("play_count").alias("plays"), F.col("skip_count").alias("skips"), F.col("like_count").alias("likes"), F.col("satisfaction").alias("s"), "last_played_at")
-    zero = lambda n: F.coalesce(n, F.lit(0)).alias(n)
-    made = few.join(t, "track_id").join(pop, "track_id", "left").join(own, ["user_id", "track_id"], "left")
-    return made.select("user_id", "track_id", "place", "w", (F.col("bpm") / 200.0).alias("bpm"), text.or_default(F.col("energy"), 0.5).alias("energy"), "valence", "artist", "duration_ms", *map(zero, ("popularity", "plays", "skips", "likes", "last_played_at")), text.or_default(F.col("s"), 0.5).alias("satisfaction"))
+def profile(i: DataFrame, t: DataFrame) -> DataFrame:
+    """user_id, weighted means of features, those of the short and the long scale, and the preference for popular tracks."""
+    pop, median = profiles.popularity(i)
+    base = i.join(t, "track_id").join(pop, "track_id").join(F.broadcast(median)).withColumn("w", profiles.weight(365)).withColumn("ws", profiles.weight(90)).withColumn("wl", 0.1 + F.col("satisfaction"))
+    mean = lambda f, w, name: (F.sum(F.col(w) * F.col(f)) / F.nullif(F.sum(w), F.lit(0.0))).alias(name)
+    preference = (0.5 + 0.5 * F.tanh(F.sum(F.col("w") * F.col("p")) / F.nullif(F.sum("w"), F.lit(0.0)) / F.first("m") - 1)).alias("preference")
+    return base.groupBy("user_id").agg(*(mean(f, "w", f) for f in ("bpm", "energy", "danceability", "valence")), *(mean(f, w, f"{n}_{f}") for f in ("energy", "valence") for n, w in (("short", "ws"), ("long", "wl"))), preference)
 
 
-@query("D11_feature_matrix", f"{_FEATURES} SELECT user_id, track_id, round(bpm, 6) AS bpm, round(energy, 6) AS energy, round(valence, 6) AS valence, popularity::BIGINT AS popularity, plays, skips, likes, round(satisfaction, 6) AS satisfaction, round(sin(2 * pi() * 20 / 24), 6) AS hour_sin, round(cos(2 * pi() * 20 / 24), 6) AS hour_cos FROM features", plays, tracks, edges, library_vectors)
-def _(i, t, x, v):
-    f = features(i, t, x, v)
-    angle = F.lit(2 * 20 / 24) * F.pi()
-    return f.select("user_id", "track_id", "bpm", "energy", "valence", "popularity", "plays", "skips", "likes", "satisfaction", F.sin(angle).alias("hour_sin"), F.cos(angle).alias("hour_cos"))
+def moods(i: DataFrame, t: DataFrame) -> DataFrame:
+    """user_id, mood: the weighted mean confidence of each mood among a user's tracks."""
+    own = i.join(t.select("track_id", "mood_tags"), "track_id").withColumn("w", profiles.weight(365))
+    whole = own.groupBy("user_id").agg(F.sum("w").alias("all"))
+    parts = own.select("user_id", "w", F.explode("mood_tags").alias("m")).groupBy("user_id", "m.label").agg(F.sum(F.col("w") * F.col("m.confidence")).alias("s"))
+    shares = parts.join(whole, "user_id").filter("all > 0").select("user_id", F.struct("label", (F.col("s") / F.col("all")).alias("x")).alias("e"))
+    return shares.groupBy("user_id").agg(F.map_from_entries(F.collect_list("e")).alias("mood"))
+
+
+def habits(e: DataFrame) -> DataFrame:
+    """user_id and the shares of its events at the hour, on the device and at the place of the context."""
+    share = lambda c, x, name: F.avg(F.coalesce((F.col(c) == x).cast("double"), F.lit(0.0))).alias(name)
+    return e.groupBy("user_id").agg(share("hour_of_day", CONTEXT.hour, "hour_share"), share("device_type", CONTEXT.device, "device_share"), share("surface", CONTEXT.place, "place_share"))
+
+
+def featured(pairs: DataFrame, i: DataFrame, t: DataFrame, e: DataFrame, **models: DataFrame) -> DataFrame:
+    pop = i.groupBy("track_id").agg(F.sum("play_count").alias("plays"))
+    return recommending.features(pairs, t, i, profile(i, t), moods(i, t), habits(e), pop, CONTEXT, **models)
+
+
+_MEANS = ", ".join(f"sum(w * {f}) / nullif(sum(w), 0) AS p_{f}" for f in ("bpm", "energy", "danceability", "valence")) + ", " + ", ".join(f"sum({w} * {f}) / nullif(sum({w}), 0) AS {n}_{f}" for f in ("energy", "valence") for n, w in (("short", "ws"), ("long", "wl")))
+_SQL_COLUMNS = {
+    "loudness": "-8.0::DOUBLE", "instrumentalness": "0.0::DOUBLE", "duration": "coalesce(nullif(t.duration_ms, 0), 200000) / 1000.0::DOUBLE", "track_popularity": "coalesce(pop.p, 0)::DOUBLE",
+    "satisfaction_score": "CASE WHEN i.user_id IS NULL THEN 0.0::DOUBLE WHEN coalesce(i.satisfaction, 0) = 0 THEN 0.5 ELSE i.satisfaction END", "play_count": "coalesce(i.play_count, 0)::DOUBLE", "skip_count": "coalesce(i.skip_count, 0)::DOUBLE",
+    "recency_days": f"coalesce(({ORDERS_NOW} - i.last_played_at) / 86400.0::DOUBLE, 0)", "avg_completion": "0.0::DOUBLE", "has_prior_interaction": "CASE WHEN i.user_id IS NULL THEN 0.0::DOUBLE ELSE 1 END",
+    **{f"delta_{f}": f"abs(t.{f} - coalesce(pr.p_{f}, t.{f}))" for f in ("bpm", "energy", "danceability", "valence")},
+    "mood_match_score": "coalesce(t.mood_tags[1].confidence * mo.m1 + t.mood_tags[2].confidence * mo.m2 + t.mood_tags[3].confidence * mo.m3, 0)", "time_affinity": "coalesce(ha.hour_share, 0)",
+    "hour_sin": "sin(2 * pi() * 20 / 24)", "hour_cos": "cos(2 * pi() * 20 / 24)", "dow_sin": "sin(2 * pi() * 5 / 7)", "dow_cos": "cos(2 * pi() * 5 / 7)", "device_affinity": "coalesce(ha.device_share, 0)", "output_affinity": "0.0::DOUBLE",
+    "context_type_affinity": "coalesce(ha.place_share, 0)", "location_affinity": "0.0::DOUBLE", "is_mobile": "1.0::DOUBLE", "is_headphones": "0.0::DOUBLE",
+    **{f"delta_{f}_{n}": f"abs(t.{f} - coalesce(pr.{n}_{f}, t.{f}))" for f in ("energy", "valence") for n in ("short", "long")},
+    "days_since_added": "365.0::DOUBLE", "position_bias": "0.0::DOUBLE", "popularity_preference": "coalesce(pr.preference, 0.5)", "sequential_score": "0.0::DOUBLE", "taste_drift_score": "0.0::DOUBLE",
+}
+_FEATURES = f"""{_TOP}, {profiles._POPULAR},
+base AS (SELECT i.user_id, {profiles.sql_weight(365)} AS w, {profiles.sql_weight(90)} AS ws, 0.1::DOUBLE + satisfaction AS wl, bpm, energy, danceability, valence, mood_tags, p, m FROM interactions i JOIN track_features USING (track_id) JOIN pop USING (track_id), med),
+pr AS (SELECT user_id, {_MEANS}, 0.5 + 0.5 * tanh(sum(w * p) / nullif(sum(w), 0) / any_value(m) - 1) AS preference FROM base GROUP BY user_id),
+mo AS (SELECT user_id, {", ".join(f"sum(w * mood_tags[{k}].confidence) / nullif(sum(w), 0) AS m{k}" for k in (1, 2, 3))} FROM base GROUP BY user_id),
+ha AS (SELECT user_id, avg(coalesce((hour_of_day = 20)::INT, 0)) AS hour_share, avg(coalesce((device_type = 'phone')::INT, 0)) AS device_share, avg(coalesce((surface = 'home')::INT, 0)) AS place_share FROM listen_events GROUP BY user_id),
+cleaned AS (SELECT * REPLACE (CASE WHEN coalesce(bpm, 0) = 0 THEN 120.0::DOUBLE ELSE bpm END AS bpm, CASE WHEN coalesce(energy, 0) = 0 THEN 0.5::DOUBLE ELSE energy END AS energy, CASE WHEN coalesce(danceability, 0) = 0 THEN 0.5::DOUBLE ELSE danceability END AS danceability, CASE WHEN coalesce(valence, 0) = 0 THEN 0.5::DOUBLE ELSE valence END AS valence) FROM track_features),
+features AS (SELECT r.user_id, r.track_id, r.place, r.source, t.artist, i.early_skip_count AS early_skips, i.last_played_at, i.like_count, {", ".join(f"{_SQL_COLUMNS[f]} AS {f}" if f in _SQL_COLUMNS else f"t.{f}" for f in recommending.COLUMNS)}
+  FROM ranked r JOIN cleaned t ON t.track_id = r.track_id LEFT JOIN pop ON pop.track_id = r.track_id LEFT JOIN interactions i ON i.user_id = r.user_id AND i.track_id = r.track_id LEFT JOIN pr ON pr.user_id = r.user_id LEFT JOIN mo ON mo.user_id = r.user_id LEFT JOIN ha ON ha.user_id = r.user_id WHERE place <= 60)"""
+
+
+@query("D11_feature_matrix", f"{_FEATURES} SELECT user_id, track_id, {', '.join(f'round({f} + 1e-10, 6) AS {f}' for f in recommending.COLUMNS)} FROM features", plays, tracks, edges, library_vectors, events)
+def _(i, t, x, v, e):
+    """The thirty-nine columns of every user's candidates, as they are served: no position, and no model's score."""
+    i = shared.stored(i, "interactions")
+    made = featured(merged(i, t, x, v).select("user_id", "track_id"), i, t, e)
+    return made.select("user_id", "track_id", *(F.round(F.col(f) + 1e-10, 6).alias(f) for f in recommending.COLUMNS))
 
 
 _SHOWN = "shown AS (SELECT user_id, track_id, avg(position) AS position, min(id) AS id FROM listen_events WHERE event_type = 'reco_impression' GROUP BY ALL), heard AS (SELECT DISTINCT user_id, track_id FROM listen_events WHERE event_type IN ('play_start', 'play_end'))"
@@ -173,13 +219,13 @@ def _(e):
     return good.unionByName(bad)
 
 
-_NEIGHBOURS = f"{_CONTENT}, own AS (SELECT user_id, track_id AS other, play_count, satisfaction FROM interactions WHERE user_id IN {_USERS} AND track_id IN (SELECT track_id FROM units) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY play_count DESC, track_id) <= 500), near AS (SELECT c.user_id, c.track_id, sum(greatest(list_dot_product(a.u, b.u), 0) * o.satisfaction) AS pull, sum(greatest(list_dot_product(a.u, b.u), 0)) AS mass FROM content c JOIN own o ON o.user_id = c.user_id JOIN units a ON a.track_id = c.track_id JOIN units b ON b.track_id = o.other GROUP BY ALL)"
+_NEIGHBOURS = f"{_CONTENT}, own AS (SELECT user_id, track_id AS other, play_count, satisfaction FROM interactions WHERE track_id IN (SELECT track_id FROM units) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY play_count DESC, track_id) <= 500), near AS (SELECT c.user_id, c.track_id, sum(greatest(list_dot_product(a.u, b.u), 0) * o.satisfaction) AS pull, sum(greatest(list_dot_product(a.u, b.u), 0)) AS mass FROM content c JOIN own o ON o.user_id = c.user_id JOIN units a ON a.track_id = c.track_id JOIN units b ON b.track_id = o.other GROUP BY ALL)"
 
 
 def evidence(i: DataFrame, v: DataFrame) -> DataFrame:
     """user_id, track_id, pull, mass: what a user's history says of each candidate, by likeness."""
     u = v.select("track_id", text.unit(F.col("v")).alias("u"))
-    own = scoring.top_per(some(i).join(v, "track_id", "left_semi"), ["user_id"], [F.desc("play_count"), F.col("track_id")], 500).join(u, "track_id").select("user_id", F.col("u").alias("b"), "satisfaction")
+    own = scoring.top_per(i.join(v, "track_id", "left_semi"), ["user_id"], [F.desc("play_count"), F.col("track_id")], 500).join(u, "track_id").select("user_id", F.col("u").alias("b"), "satisfaction")
     near = F.greatest(text.dot(F.col("u"), F.col("b")), F.lit(0.0))
     return content(i, v).join(u, "track_id").join(own, "user_id").groupBy("user_id", "track_id").agg(F.sum(near * F.col("satisfaction")).alias("pull"), F.sum(near).alias("mass"))
 
@@ -197,10 +243,27 @@ def belief(i: DataFrame, v: DataFrame) -> DataFrame:
     return evidence(i, v).select("user_id", "track_id", ((F.col("pull") + 0.5) / (F.col("mass") + 1)).alias("mu"), (0.5 / F.sqrt(F.col("mass") + 1)).alias("sigma"))
 
 
-@query("D13_confidence", f"{_BELIEF} SELECT user_id, track_id, round(mu, 5) AS mu, round(sigma, 5) AS sigma, round(mu, 5) >= 0.6 AND round(sigma, 5) <= 0.3 AS proven FROM belief", plays, library_vectors)
-def _(i, v):
-    b = belief(i, v).select("user_id", "track_id", F.round("mu", 5).alias("mu"), F.round("sigma", 5).alias("sigma"))
-    return b.withColumn("proven", (F.col("mu") >= 0.6) & (F.col("sigma") <= 0.3))
+#: A neighbour of a track is one this alike; less than a live system's half, as the test vectors point anywhere.
+RADIUS = 0.2
+_OWN = f"""own AS (SELECT user_id, track_id, play_count, greatest(0, least(1, 0.5 * satisfaction + 0.5 * greatest(0, least(1, (play_count - least(skip_count, play_count)) / play_count - 0.5 * least(1, early_skip_count / play_count))))) AS own_mu,
+  ((play_count - least(skip_count, play_count)) + 0.5::DOUBLE * play_count + like_count + greatest(play_count - 1, 0)) * exp(-ln(2) * greatest(({ORDERS_NOW} - last_played_at) / 86400.0, 0) / 1400.0::DOUBLE) AS own_evidence FROM interactions),
+pool AS (SELECT user_id, track_id AS other, own_mu AS m, u AS b FROM own JOIN units USING (track_id) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY play_count DESC, track_id) <= 500),
+cosines AS (SELECT c.user_id, c.track_id, m, least(greatest((list_dot_product(a.u, b) - {RADIUS}) / (1 - {RADIUS}), 0), 1) AS w FROM asked c JOIN units a USING (track_id) JOIN pool p ON p.user_id = c.user_id AND p.other != c.track_id),
+lent AS (SELECT user_id, track_id, sum(w * m) / sum(w) AS lent_mu, sum(w * greatest(m, 0)) AS lent FROM cosines WHERE w > 0 GROUP BY ALL),
+sure AS (SELECT a.user_id, a.track_id, base, least(greatest(coalesce((coalesce(least(greatest(base, 0), 1), 0) + coalesce(own_evidence * own_mu, 0) + coalesce(lent * lent_mu, 0)) / nullif(CASE WHEN base IS NULL THEN 0 ELSE 1 END + coalesce(own_evidence, 0) + coalesce(lent, 0), 0), 0.5), 0), 1) AS mu,
+  1 / (1 + 0.5 * (coalesce(own_evidence, 0) + coalesce(lent, 0))) AS sigma FROM asked a LEFT JOIN own USING (user_id, track_id) LEFT JOIN lent USING (user_id, track_id))"""
+
+
+def sure(asked: DataFrame, i: DataFrame, v: DataFrame) -> DataFrame:
+    """mu, sigma, proven of asked candidates (user_id, track_id, base)."""
+    return recommending.confidence(asked, i, v.select("track_id", text.unit(F.col("v")).alias("u")), ORDERS_NOW, RADIUS, 1400.0)
+
+
+@query("D13_confidence", f"{_TOP}, asked AS (SELECT user_id, track_id, NULL::DOUBLE AS base FROM ranked WHERE place <= 60), {_OWN} SELECT user_id, track_id, round(mu, 5) AS mu, round(sigma, 5) AS sigma, round(mu, 9) >= 0.6 AND round(sigma, 9) <= 0.3 AS proven FROM sure", plays, tracks, edges, library_vectors)
+def _(i, t, x, v):
+    """How sure it is that a user likes each candidate, from own plays and from those of near tracks."""
+    i = shared.stored(i, "interactions")
+    return sure(merged(i, t, x, v).select("user_id", "track_id", F.lit(None).cast("double").alias("base")), i, v).withColumns({n: F.round(n, 5) for n in ("mu", "sigma")})
 
 
 @query("P14_novelty_filter", f"{_BELIEF}, m AS (SELECT b.*, round(sigma, 6) AS s, round(mu, 6) >= 0.3 AND round(sigma, 6) <= 0.2 OR coalesce(like_count, 0) > 0 OR coalesce(play_count, 0) >= 3 AS known FROM belief b LEFT JOIN interactions i ON i.user_id = b.user_id AND i.track_id = b.track_id), r AS (SELECT *, count_if(NOT known) OVER (PARTITION BY user_id) AS fresh, row_number() OVER (PARTITION BY user_id, known ORDER BY s DESC, track_id) AS n FROM m) SELECT user_id, track_id FROM r WHERE NOT known OR n <= 10 - fresh", plays, library_vectors)
@@ -214,97 +277,124 @@ def _(i, v):
     return b.withColumn("fresh", fresh).withColumn("n", n).filter("NOT known OR n <= 10 - fresh").select("user_id", "track_id")
 
 
-_RERANK = f"""{_FEATURES}, adjusted AS (SELECT *, w * (1 + CASE WHEN plays = 0 THEN 0.10 ELSE 0 END) * (CASE WHEN skips > 2 THEN 0.5 ELSE 1 END) * (0.7 + 0.3 * least(plays / 8.0, 1)) AS score FROM features WHERE duration_ms >= 90000 AND last_played_at < {ORDERS_NOW} - 7200),
-ordered AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY round(score, 9) DESC, place, track_id) AS n FROM adjusted),
-fits AS (SELECT *, row_number() OVER (PARTITION BY user_id, artist ORDER BY n) AS k FROM ordered),
-slots AS (SELECT *, CASE WHEN k <= 2 THEN count_if(k <= 2) OVER (PARTITION BY user_id ORDER BY n ROWS UNBOUNDED PRECEDING) END AS a FROM fits),
-final AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY CASE WHEN a <= 10 THEN 0 ELSE 1 END, n) AS slot FROM slots)"""
+def _rerank_sql(kappa: float = 0, proven: float = 0, novelty: float = 0, familiarity: float = 0.3, exploratory: bool = False) -> str:
+    """The rules in turn on the model's stand-in, the satisfaction column."""
+    half = lambda a: f"(('0x' || substr(md5(user_id || '|' || track_id), {a}, 8))::BIGINT + 1.0::DOUBLE) / 4294967297.0"
+    at = "ceil({e} * (total / (k + 1.0::DOUBLE)) - 0.5)"
+    heat = "0" if exploratory else "CASE WHEN h = 1 AND last_played_at IS NOT NULL THEN heat * 0.25::DOUBLE ELSE 0 END"
+    return f"""{_FEATURES}, asked AS (SELECT user_id, track_id, satisfaction_score AS base FROM features), {_OWN},
+warm AS (SELECT user_id, track_id, {profiles._HOT} AS heat FROM interactions),
+facts AS (SELECT f.*, sigma, round(mu, 9) >= 0.6 AND round(sigma, 9) <= 0.3 AS proven, heat, row_number() OVER (PARTITION BY f.user_id ORDER BY round(heat, 9) DESC NULLS LAST, f.track_id) AS h FROM features f JOIN sure USING (user_id, track_id) LEFT JOIN warm USING (user_id, track_id)),
+adjusted AS (SELECT *, play_count AS plays, (satisfaction_score + {kappa}::DOUBLE * sigma - {proven}::DOUBLE * proven::INT - {novelty}::DOUBLE * least(play_count / 8.0::DOUBLE, 1) + {familiarity}::DOUBLE * least(play_count / 8.0::DOUBLE, 1) + {heat})
+  * CASE WHEN last_played_at IS NULL THEN 1.1::DOUBLE ELSE 1 END * CASE WHEN early_skips > 2 AND last_played_at >= {ORDERS_NOW} - {SKIPPED_S} THEN 0.5::DOUBLE ELSE 1 END AS score FROM facts
+  WHERE (last_played_at IS NULL OR last_played_at < {ORDERS_NOW} - {REPEAT_S}) AND duration >= 90),
+ordered AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY round(score, 9) DESC, place, track_id) AS n, count(*) OVER (PARTITION BY user_id) AS total FROM adjusted),
+sized AS (SELECT *, CASE WHEN total < 5 THEN 0 ELSE greatest(floor(total * 0.15::DOUBLE), 1) END::INT AS k, n > total // 2 AS lower FROM ordered),
+drawn AS (SELECT *, CASE WHEN lower THEN row_number() OVER (PARTITION BY user_id, lower ORDER BY round(score + sqrt(-2 * ln({half(1)})) * abs(cos(2 * pi() * {half(9)})) * 0.25 / sqrt(plays + 1), 9) DESC, n) END AS e FROM sized),
+parted AS (SELECT *, coalesce(e <= k, false) AS picked, row_number() OVER (PARTITION BY user_id, coalesce(e <= k, false) ORDER BY n) - 1 AS m FROM drawn),
+spotted AS (SELECT *, (CASE WHEN picked THEN {at.format(e="e")} ELSE m + len(list_filter(range(1, k + 1), lambda j: {at.format(e="j")} - j + 1 <= m)) END + 1)::INT AS spot FROM parted),
+fits AS (SELECT *, row_number() OVER (PARTITION BY user_id, artist ORDER BY spot) AS by_artist FROM spotted),
+slots AS (SELECT *, CASE WHEN by_artist <= 2 THEN count_if(by_artist <= 2) OVER (PARTITION BY user_id ORDER BY spot ROWS UNBOUNDED PRECEDING) END AS a FROM fits),
+final AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY CASE WHEN a <= 10 THEN 0 ELSE 1 END, spot) AS slot FROM slots)"""
 
 
-def reranked(i: DataFrame, t: DataFrame, x: DataFrame, v: DataFrame) -> DataFrame:
-    """Candidates after freshness, skips, familiarity, length, repetition and the cap by artist; no noise."""
-    f = features(i, t, x, v).filter((F.col("duration_ms") >= 90000) & (F.col("last_played_at") < ORDERS_NOW - 7200))
-    fresh = 1 + F.when(F.col("plays") == 0, 0.10).otherwise(0.0)
-    score = F.col("w") * fresh * F.when(F.col("skips") > 2, 0.5).otherwise(1.0) * (0.7 + 0.3 * F.least(F.col("plays") / 8.0, F.lit(1.0)))
-    ordered = f.withColumn("score", score).withColumn("n", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc(F.round("score", 9)), "place", "track_id")))
-    return ranking.capped(ordered, "user_id", "artist", "n")
+_RERANK = _rerank_sql()
+_DEEP = _rerank_sql(0.6, 0.6, 0.5, 0, True)
 
 
-@query("D14_rerank", f"{_RERANK} SELECT user_id, track_id, slot::INT AS slot, round(score, 6) AS score FROM final", plays, tracks, edges, library_vectors)
-def _(i, t, x, v):
-    return reranked(i, t, x, v).select("user_id", "track_id", "slot", "score")
+def facts(i: DataFrame, t: DataFrame, x: DataFrame, v: DataFrame, e: DataFrame, scored: DataFrame | None = None) -> DataFrame:
+    """Candidates with all that the rules ask for; score is scored's (user_id, track_id, score), or the satisfaction column where there is no model."""
+    i = shared.stored(i, "interactions")
+    f = shared.stored(featured(merged(i, t, x, v).select("user_id", "track_id", "place", "source"), i, t, e), "features")
+    base = f.join(scored, ["user_id", "track_id"]) if scored is not None else f.withColumn("score", F.col("satisfaction_score"))
+    base = base.select("user_id", "track_id", "place", "source", "score", "duration", F.col("play_count").alias("plays"))
+    own = i.select("user_id", "track_id", F.col("early_skip_count").alias("early_skips"), "last_played_at", profiles.heat().alias("heat"))
+    sure_ = sure(base.select("user_id", "track_id", F.col("score").alias("base")), i, v).select("user_id", "track_id", "sigma", "proven")
+    return base.join(sure_, ["user_id", "track_id"]).join(own, ["user_id", "track_id"], "left").join(t.select("track_id", "artist"), "track_id")
 
 
-@query("W15_artist_cap", f"{_RERANK} SELECT user_id, artist, max(cnt)::BIGINT AS in_first_ten FROM (SELECT user_id, artist, count(*) AS cnt FROM final WHERE slot <= 10 GROUP BY ALL) GROUP BY ALL", plays, tracks, edges, library_vectors)
-def _(i, t, x, v):
-    return reranked(i, t, x, v).filter("slot <= 10").groupBy("user_id", "artist").agg(F.count(F.lit(1)).alias("in_first_ten"))
+def reranked(i: DataFrame, t: DataFrame, x: DataFrame, v: DataFrame, e: DataFrame, posture: recommending.Posture = recommending.BALANCED, scored: DataFrame | None = None) -> DataFrame:
+    """The candidates of every user after all rules."""
+    return recommending.rerank(facts(i, t, x, v, e, scored), posture, ORDERS_NOW, REPEAT_S, SKIPPED_S)
 
 
-@query("W17_exploration_slots", f"{_RERANK} SELECT user_id, track_id, row_number() OVER (PARTITION BY user_id ORDER BY CASE WHEN plays = 0 AND slot > 10 THEN 6.5 * e ELSE slot END, track_id)::INT AS spot FROM (SELECT *, row_number() OVER (PARTITION BY user_id, (plays = 0 AND slot > 10) ORDER BY slot) AS e FROM final)", plays, tracks, edges, library_vectors)
-def _(i, t, x, v):
-    """Tracks never played, from behind the first ten, are put in at even spaces."""
-    new = (F.col("plays") == 0) & (F.col("slot") > 10)
-    r = reranked(i, t, x, v).withColumn("new", new)
-    r = r.withColumn("e", F.row_number().over(Window.partitionBy("user_id", "new").orderBy("slot")))
-    at = F.when(F.col("new"), 6.5 * F.col("e")).otherwise(F.col("slot").cast("double"))
-    return r.select("user_id", "track_id", F.row_number().over(Window.partitionBy("user_id").orderBy(at, "track_id")).alias("spot"))
+@query("D14_rerank", f"{_RERANK} SELECT user_id, track_id, slot::INT AS slot, round(score, 6) AS score FROM final", plays, tracks, edges, library_vectors, events)
+def _(i, t, x, v, e):
+    return reranked(i, t, x, v, e).select("user_id", "track_id", "slot", "score")
 
 
-@query("W12_rank_change", f"{_RERANK} SELECT user_id, track_id, place - slot AS change FROM final".replace("place - slot AS change", "(place - slot)::INT AS change"), plays, tracks, edges, library_vectors)
-def _(i, t, x, v):
-    return reranked(i, t, x, v).select("user_id", "track_id", (F.col("place") - F.col("slot")).alias("change"))
+@query("W15_artist_cap", f"{_RERANK} SELECT user_id, artist, max(cnt)::BIGINT AS in_first_ten FROM (SELECT user_id, artist, count(*) AS cnt FROM final WHERE slot <= 10 GROUP BY ALL) GROUP BY ALL", plays, tracks, edges, library_vectors, events)
+def _(i, t, x, v, e):
+    return reranked(i, t, x, v, e).filter("slot <= 10").groupBy("user_id", "artist").agg(F.count(F.lit(1)).alias("in_first_ten"))
 
 
-@query("W23_rank_agreement", f"{_RERANK} SELECT a.user_id, round(sum(sign(b.slot - a.slot)) / count(*), 6) AS tau FROM final a JOIN final b ON a.user_id = b.user_id AND a.place < b.place GROUP BY a.user_id", plays, tracks, edges, library_vectors)
-def _(i, t, x, v):
-    return ranking.rank_agreement(reranked(i, t, x, v), ["user_id"], "place", "slot")
+@query("D14_rerank_deep", f"{_DEEP} SELECT user_id, track_id, slot::INT AS slot, round(score, 6) AS score FROM final", plays, tracks, edges, library_vectors, events)
+def _(i, t, x, v, e):
+    """The same for who wants to go far: doubt counts for a track, proof and familiarity against it."""
+    return reranked(i, t, x, v, e, recommending.DEEP).select("user_id", "track_id", "slot", "score")
 
 
-@query("D37_audit_replay", f"{_RERANK} SELECT user_id, count_if(place <= 10 AND slot <= 10)::BIGINT AS overlap, count_if(place <= 10 AND slot > 10)::BIGINT AS dropped, round(avg(abs(place - slot)), 6) AS moved FROM final GROUP BY user_id", plays, tracks, edges, library_vectors)
-def _(i, t, x, v):
+@query("W17_exploration_slots", f"{_RERANK} SELECT user_id, track_id, spot, picked AS explored FROM final", plays, tracks, edges, library_vectors, events)
+def _(i, t, x, v, e):
+    """Where exploration puts each track, and which ones it has drawn from the lower half."""
+    return reranked(i, t, x, v, e).select("user_id", "track_id", "spot", "explored")
+
+
+@query("W12_rank_change", f"{_RERANK} SELECT user_id, track_id, place - slot AS change FROM final".replace("place - slot AS change", "(place - slot)::INT AS change"), plays, tracks, edges, library_vectors, events)
+def _(i, t, x, v, e):
+    return reranked(i, t, x, v, e).select("user_id", "track_id", (F.col("place") - F.col("slot")).alias("change"))
+
+
+@query("W23_rank_agreement", f"{_RERANK} SELECT a.user_id, round(sum(sign(b.slot - a.slot)) / count(*), 6) AS tau FROM final a JOIN final b ON a.user_id = b.user_id AND a.place < b.place GROUP BY a.user_id", plays, tracks, edges, library_vectors, events)
+def _(i, t, x, v, e):
+    return ranking.rank_agreement(reranked(i, t, x, v, e), ["user_id"], "place", "slot")
+
+
+@query("D37_audit_replay", f"{_RERANK} SELECT user_id, count_if(place <= 10 AND slot <= 10)::BIGINT AS overlap, count_if(place <= 10 AND slot > 10)::BIGINT AS dropped, round(avg(abs(place - slot)), 6) AS moved FROM final GROUP BY user_id", plays, tracks, edges, library_vectors, events)
+def _(i, t, x, v, e):
     old, new = F.col("place") <= 10, F.col("slot") <= 10
-    return reranked(i, t, x, v).groupBy("user_id").agg(F.count_if(old & new).alias("overlap"), F.count_if(old & ~new).alias("dropped"), F.avg(F.abs(F.col("place") - F.col("slot"))).alias("moved"))
+    return reranked(i, t, x, v, e).groupBy("user_id").agg(F.count_if(old & new).alias("overlap"), F.count_if(old & ~new).alias("dropped"), F.avg(F.abs(F.col("place") - F.col("slot"))).alias("moved"))
 
 
-@query("U04_overlap", f"{_RERANK} SELECT user_id, track_id, CASE WHEN place <= 10 AND slot <= 10 THEN 'both' WHEN place <= 10 THEN 'before' ELSE 'after' END AS list FROM final WHERE place <= 10 OR slot <= 10".replace("AS list", "AS kept_in"), plays, tracks, edges, library_vectors)
-def _(i, t, x, v):
-    r = reranked(i, t, x, v)
+@query("U04_overlap", f"{_RERANK} SELECT user_id, track_id, CASE WHEN place <= 10 AND slot <= 10 THEN 'both' WHEN place <= 10 THEN 'before' ELSE 'after' END AS list FROM final WHERE place <= 10 OR slot <= 10".replace("AS list", "AS kept_in"), plays, tracks, edges, library_vectors, events)
+def _(i, t, x, v, e):
+    r = reranked(i, t, x, v, e)
     old, new = (r.filter(f"{n} <= 10").select("user_id", "track_id") for n in ("place", "slot"))
     name = lambda df, n: df.withColumn("kept_in", F.lit(n))
     return name(old.intersect(new), "both").unionByName(name(old.subtract(new), "before")).unionByName(name(new.subtract(old), "after"))
 
 
-@query("U08_top_and_shown", f"{_RERANK} SELECT DISTINCT user_id, track_id FROM final WHERE place <= 15 OR slot <= 10", plays, tracks, edges, library_vectors)
-def _(i, t, x, v):
-    r = reranked(i, t, x, v)
+@query("U08_top_and_shown", f"{_RERANK} SELECT DISTINCT user_id, track_id FROM final WHERE place <= 15 OR slot <= 10", plays, tracks, edges, library_vectors, events)
+def _(i, t, x, v, e):
+    r = reranked(i, t, x, v, e)
     return r.filter("place <= 15").select("user_id", "track_id").union(r.filter("slot <= 10").select("user_id", "track_id")).distinct()
 
 
-@query("D16_recommendations", f"{_RERANK} SELECT f.user_id, f.track_id, f.slot::INT AS slot, t.title, t.artist, t.genre FROM final f JOIN track_features t ON t.track_id = f.track_id WHERE slot <= 10", plays, tracks, edges, library_vectors)
-def _(i, t, x, v):
+@query("D16_recommendations", f"{_RERANK} SELECT f.user_id, f.track_id, f.slot::INT AS slot, t.title, t.artist, t.genre FROM final f JOIN track_features t ON t.track_id = f.track_id WHERE slot <= 10", plays, tracks, edges, library_vectors, events)
+def _(i, t, x, v, e):
     """The ten that are shown, with what is told of them."""
-    return reranked(i, t, x, v).filter("slot <= 10").select("user_id", "track_id", "slot").join(t.select("track_id", "title", "artist", "genre"), "track_id")
+    return reranked(i, t, x, v, e).filter("slot <= 10").select("user_id", "track_id", "slot").join(t.select("track_id", "title", "artist", "genre"), "track_id")
 
 
-@query("J29_audit_with_metadata", f"{_RERANK} SELECT f.user_id, f.track_id, t.album, t.bpm FROM final f LEFT JOIN track_features t ON t.track_id = f.track_id", plays, tracks, edges, library_vectors)
-def _(i, t, x, v):
-    return reranked(i, t, x, v).select("user_id", "track_id").join(t.select("track_id", "album", "bpm"), "track_id", "left")
+@query("J29_audit_with_metadata", f"{_RERANK} SELECT f.user_id, f.track_id, t.album, t.bpm FROM final f LEFT JOIN track_features t ON t.track_id = f.track_id", plays, tracks, edges, library_vectors, events)
+def _(i, t, x, v, e):
+    return reranked(i, t, x, v, e).select("user_id", "track_id").join(t.select("track_id", "album", "bpm"), "track_id", "left")
 
 
-@query("D36_audit_stats", f"{_RERANK} SELECT user_id, count(*) AS candidates, count_if(slot <= 10)::BIGINT AS shown, round(max(score), 6) AS best FROM final GROUP BY user_id", plays, tracks, edges, library_vectors)
-def _(i, t, x, v):
-    return reranked(i, t, x, v).groupBy("user_id").agg(F.count(F.lit(1)).alias("candidates"), F.count_if(F.col("slot") <= 10).alias("shown"), F.max("score").alias("best"))
+@query("D36_audit_stats", f"{_RERANK} SELECT user_id, count(*) AS candidates, count_if(slot <= 10)::BIGINT AS shown, round(max(score), 6) AS best FROM final GROUP BY user_id", plays, tracks, edges, library_vectors, events)
+def _(i, t, x, v, e):
+    return reranked(i, t, x, v, e).groupBy("user_id").agg(F.count(F.lit(1)).alias("candidates"), F.count_if(F.col("slot") <= 10).alias("shown"), F.max("score").alias("best"))
 
 
-@query("F46_reasons", f"{_RERANK} SELECT user_id, track_id, list_distinct([x for x in [CASE WHEN w = 1 THEN 'taste' END, CASE WHEN w = 0.3 THEN 'popular' END, CASE WHEN plays = 0 THEN 'new' END] if x IS NOT NULL]) AS reasons FROM final".replace("list_distinct(", "(").replace("AS reasons", "AS reasons"), plays, tracks, edges, library_vectors)
-def _(i, t, x, v):
-    found = F.array(F.when(F.col("w") == 1, "taste"), F.when(F.col("w") == 0.3, "popular"), F.when(F.col("plays") == 0, "new"))
-    return reranked(i, t, x, v).select("user_id", "track_id", F.array_distinct(F.array_compact(found)).alias("reasons"))
+@query("F46_reasons", f"{_RERANK} SELECT user_id, track_id, list_distinct([x for x in [CASE WHEN source = 'content' THEN 'taste' END, CASE WHEN source = 'popular' THEN 'popular' END, CASE WHEN plays = 0 THEN 'new' END] if x IS NOT NULL]) AS reasons FROM final".replace("list_distinct(", "(").replace("AS reasons", "AS reasons"), plays, tracks, edges, library_vectors, events)
+def _(i, t, x, v, e):
+    found = F.array(F.when(F.col("source") == "content", "taste"), F.when(F.col("source") == "popular", "popular"), F.when(F.col("plays") == 0, "new"))
+    return reranked(i, t, x, v, e).select("user_id", "track_id", F.array_distinct(F.array_compact(found)).alias("reasons"))
 
 
-@query("U06_recommended_ids", f"{_RERANK} SELECT count(DISTINCT track_id) AS tracks, round(count(DISTINCT track_id) / (SELECT count(*) FROM track_features), 6) AS coverage FROM final WHERE slot <= 10", plays, tracks, edges, library_vectors)
-def _(i, t, x, v):
-    shown = reranked(i, t, x, v).filter("slot <= 10").agg(F.countDistinct("track_id").alias("tracks"))
+@query("U06_recommended_ids", f"{_RERANK} SELECT count(DISTINCT track_id) AS tracks, round(count(DISTINCT track_id) / (SELECT count(*) FROM track_features), 6) AS coverage FROM final WHERE slot <= 10", plays, tracks, edges, library_vectors, events)
+def _(i, t, x, v, e):
+    shown = reranked(i, t, x, v, e).filter("slot <= 10").agg(F.countDistinct("track_id").alias("tracks"))
     return shown.join(t.agg(F.count(F.lit(1)).alias("n"))).select("tracks", (F.col("tracks") / F.col("n")).alias("coverage"))
 
 
