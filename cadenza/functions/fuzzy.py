@@ -44,7 +44,7 @@ def folded(s: Column | str) -> Column:
 
 
 def _grams(strings: DataFrame) -> DataFrame:
-    """s, f, n (its length), g: each pair of neighbouring characters with its number among equal ones; strings of up to three characters also have their single ones."""
+    """s, f, n (its length), g: each pair of neighbouring characters with its number among equal ones."""
     f = F.col("f")
     at = F.filter(F.sequence(F.lit(1), F.greatest(F.length(f), F.lit(1))), lambda k: k < F.length(f))
     pairs = strings.withColumn("n", F.length(f)).withColumn("p", F.transform(at, lambda k: f.substr(k, F.lit(2))))
@@ -60,13 +60,16 @@ def _overlap(threshold: float) -> Column:
 
 
 def _signed(strings: DataFrame, ranks: DataFrame, threshold: float) -> DataFrame:
-    """s, f, n, token: the rarest pairs of each string, as many as it takes to share one with all that are like it."""
+    """s, f, n, token: the rarest pairs of each string, as many as it takes to share one with all that are like it.
+
+    Where a like string may share none, which low thresholds and very short strings allow, its single characters are tokens too.
+    """
     made = _grams(strings)
     long = made.select("s", F.explode("g").alias("g")).join(F.broadcast(ranks), "g", "left")
     ordered = long.groupBy("s").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("rank", F.lit(0)).alias("rank"), "g"))).alias("o"))
     sized = made.select("s", "f", "n", _overlap(threshold).alias("c")).join(ordered, "s", "left")
     rare = F.slice(F.col("o.g"), 1, F.greatest(F.size("o") - F.greatest("c", F.lit(1)) + 1, F.lit(1)).cast("int"))
-    single = F.when(F.col("n") <= 3, F.array_distinct(F.filter(F.split("f", ""), lambda x: x != "")))
+    single = F.when((F.col("n") <= 3) | (F.col("c") < 1), F.array_distinct(F.filter(F.split("f", ""), lambda x: x != "")))
     empty = F.when(F.col("n") == 0, F.array(F.lit("")))
     return sized.select("s", "f", "n", F.explode(F.concat(F.coalesce(rare, F.array().cast("array<string>")), F.coalesce(single, F.array().cast("array<string>")), F.coalesce(empty, F.array().cast("array<string>")))).alias("token"))
 

@@ -210,13 +210,7 @@ def _(e):
 
 @query("D12_training_set", f"{_SHOWN}, neg AS (SELECT user_id, track_id FROM shown WHERE (user_id, track_id) NOT IN (SELECT user_id, track_id FROM heard) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY id) <= 50) SELECT user_id, track_id, 1.0::DOUBLE AS label, CASE WHEN bool_or(event_type = 'like') THEN 3.0::DOUBLE WHEN bool_or(event_type = 'playlist_add') THEN 2.0 ELSE 1.5 END AS w FROM listen_events WHERE event_type IN ('like', 'playlist_add', 'play_end') GROUP BY user_id, track_id UNION ALL SELECT user_id, track_id, 0.0, 2.0 FROM neg", events)
 def _(e):
-    """What users liked, kept or heard, and up to fifty impressions each that they did not play."""
-    has = lambda kind: F.bool_or(F.col("event_type") == kind)
-    good = e.filter("event_type IN ('like', 'playlist_add', 'play_end')").groupBy("user_id", "track_id").agg(F.lit(1.0).alias("label"), F.when(has("like"), 3.0).when(has("playlist_add"), 2.0).otherwise(1.5).alias("w"))
-    shown = e.filter("event_type = 'reco_impression'").groupBy("user_id", "track_id").agg(F.min("id").alias("id"))
-    unheard = shown.join(e.filter("event_type IN ('play_start', 'play_end')"), ["user_id", "track_id"], "left_anti")
-    bad = scoring.top_per(unheard, ["user_id"], [F.col("id")], 50).select("user_id", "track_id", F.lit(0.0).alias("label"), F.lit(2.0).alias("w"))
-    return good.unionByName(bad)
+    return training(e)
 
 
 _NEIGHBOURS = f"{_CONTENT}, own AS (SELECT user_id, track_id AS other, play_count, satisfaction FROM interactions WHERE track_id IN (SELECT track_id FROM units) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY play_count DESC, track_id) <= 500), near AS (SELECT c.user_id, c.track_id, sum(greatest(list_dot_product(a.u, b.u), 0) * o.satisfaction) AS pull, sum(greatest(list_dot_product(a.u, b.u), 0)) AS mass FROM content c JOIN own o ON o.user_id = c.user_id JOIN units a ON a.track_id = c.track_id JOIN units b ON b.track_id = o.other GROUP BY ALL)"
@@ -592,14 +586,44 @@ def _(e):
     return model.findSynonyms(commonest, 10).select(F.col("word").alias("track_id"), F.col("similarity").alias("score"))
 
 
-@query("M02_ranker", None, plays, tracks)
+def training(e: DataFrame) -> DataFrame:
+    """What users liked, kept or heard, and up to fifty impressions each that they did not play, with label and weight."""
+    has = lambda kind: F.bool_or(F.col("event_type") == kind)
+    good = e.filter("event_type IN ('like', 'playlist_add', 'play_end')").groupBy("user_id", "track_id").agg(F.lit(1.0).alias("label"), F.when(has("like"), 3.0).when(has("playlist_add"), 2.0).otherwise(1.5).alias("w"))
+    shown = e.filter("event_type = 'reco_impression'").groupBy("user_id", "track_id").agg(F.min("id").alias("id"))
+    unheard = shown.join(e.filter("event_type IN ('play_start', 'play_end')"), ["user_id", "track_id"], "left_anti")
+    return good.unionByName(scoring.top_per(unheard, ["user_id"], [F.col("id")], 50).select("user_id", "track_id", F.lit(0.0).alias("label"), F.lit(2.0).alias("w")))
+
+
+def model_scores(i: DataFrame, t: DataFrame, x: DataFrame, v: DataFrame, e: DataFrame) -> DataFrame:
+    """user_id, track_id, score of every candidate by trees that learnt from impressions and feedback, with the places they were shown at; lists that are made anew have no place."""
+    from ..operators import evaluation
+
+    columns = list(recommending.COLUMNS)
+    places = e.filter("event_type = 'reco_impression'").groupBy("user_id", "track_id").agg(F.avg("position").alias("position_bias"))
+    learnt = shared.stored(featured(training(e), i, t, e, positions=places), "training")
+    model = evaluation.trained(learnt, columns, "label", "w", 15, 4)
+    return evaluation.scored(model, featured(merged(i, t, x, v).select("user_id", "track_id"), i, t, e), columns).select("user_id", "track_id", "score")
+
+
+@query("M02_ranker", None, plays, tracks, edges, library_vectors, events)
+def _(i, t, x, v, e):
+    """The twenty best candidates of every user by trees trained on the training set, which holds no row that is scored as such."""
+    scores = model_scores(shared.stored(i, "interactions"), t, x, v, e)
+    return scoring.top_per(scores, ["user_id"], [F.desc(F.round("score", 9)), F.col("track_id")], 20).select("user_id", "track_id", "score", "rank")
+
+
+@query("D16_ranked_by_model", None, plays, tracks, edges, library_vectors, events)
+def _(i, t, x, v, e):
+    """The ten that are shown to every user, where the trees' scores go through all rules."""
+    i = shared.stored(i, "interactions")
+    best = reranked(i, t, x, v, e, scored=model_scores(i, t, x, v, e)).filter("slot <= 10")
+    return best.select("user_id", "track_id", "slot", "score").join(t.select("track_id", "title", "artist", "genre"), "track_id")
+
+
+@query("E02_model_holdout", None, plays, tracks)
 def _(i, t):
-    """Boosted trees on satisfaction from a track's features; the twenty best of a user."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
-
-    names = ["bpm", "energy", "danceability", "valence", "track_number", "play_count"]
-    made = VectorAssembler(inputCols=names, outputCol="features").transform(i.join(t, "track_id").select("user_id", "track_id", "satisfaction", "like_count", *names)).withColumn("w", F.when(F.col("like_count") > 0, 3.0).otherwise(1.5))
-    model = GBTRegressor(maxIter=10, maxDepth=4, stepSize=0.05, subsamplingRate=0.8, seed=42, featuresCol="features", labelCol="satisfaction", weightCol="w").fit(made)
-    scored = model.transform(made.filter("user_id = 'u1'"))
-    return scored.orderBy(F.desc("prediction"), "track_id").limit(20).select("user_id", "track_id", F.col("prediction").alias("score"))
+    """Trees that learnt from the first four fifths of the time, on the rest, against chance and popularity."""
+    from ..operators import evaluation
+
+    return evaluation.holdout(shared.stored(i, "interactions"), t)
