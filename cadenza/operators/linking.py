@@ -59,3 +59,33 @@ def closest(tracks: DataFrame, targets: dict[str, tuple[float, float]], k: int)
     """The k tracks of least weighted distance to targets (value, scale); what is missing is at the target."""
     distance = sum((F.abs(F.coalesce(F.col(c).cast("double"), F.lit(v)) - v) / scale for c, (v, scale) in targets.items()), F.lit(0.0))
     return tracks.withColumn("distance", distance).orderBy("distance", "track_id").limit(k)
+
+
+#: Cells of a grid over tempo and energy for each width of a band.
+PARTS = 4
+
+
+def band_sums(tracks: DataFrame, bpm: float = 15.0, energy: float = 0.25) -> DataFrame:
+    """seed, n, bpm: how many other tracks of its mode are within bpm and energy bands of each track, and their mean bpm; tracks without any are left out.
+
+    Equal points count as one. A grid holds the sums and extremes of its cells; cells that lie
+    in a band whole are added up, and only points of cells on its border are compared. So each
+    point meets a fixed number of cells, and no pairs of tracks are made.
+    """
+    known = tracks.filter("mode IS NOT NULL AND bpm IS NOT NULL AND energy IS NOT NULL").select("track_id", "mode", F.col("bpm").cast("double").alias("b"), F.col("energy").cast("double").alias("e"))
+    side = lambda x, width: F.floor(x / (width / PARTS))
+    points = known.groupBy("mode", "b", "e").agg(F.count(F.lit(1)).alias("n")).withColumn("cb", side(F.col("b"), bpm)).withColumn("ce", side(F.col("e"), energy))
+    cells = points.groupBy("mode", "cb", "ce").agg(F.sum("n").alias("cn"), F.sum(F.col("n") * F.col("b")).alias("cs"), F.min("b").alias("b0"), F.max("b").alias("b1"), F.min("e").alias("e0"), F.max("e").alias("e1"))
+    around = F.array([F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-PARTS - 1, PARTS + 2) for j in range(-PARTS - 1, PARTS + 2)])
+    asked = points.select("mode", "b", "e", "cb", "ce", F.explode(around).alias("d")).select("mode", "b", "e", (F.col("cb") + F.col("d.i")).alias("cb"), (F.col("ce") + F.col("d.j")).alias("ce"))
+    low, high = F.greatest(F.col("e") - energy, F.lit(0.0)), F.least(F.col("e") + energy, F.lit(1.0))
+    within = lambda x, y: (F.abs(F.col(x) - F.col("b")) <= bpm) & F.col(y).between(low, high)
+    met = asked.join(cells, ["mode", "cb", "ce"]).withColumn("whole", within("b0", "e0") & within("b1", "e1"))
+    apart = ((F.col("b0") - F.col("b")) > bpm) | ((F.col("b") - F.col("b1")) > bpm) | (F.col("e0") > high) | (F.col("e1") < low)
+    inner = met.filter("whole").select("mode", "b", "e", "cn", "cs")
+    border = met.filter(~F.col("whole") & ~apart).select("mode", "b", "e", "cb", "ce").join(points.select("mode", "cb", "ce", F.col("b").alias("pb"), F.col("e").alias("pe"), F.col("n").alias("cn")), ["mode", "cb", "ce"])
+    border = border.filter(within("pb", "pe")).select("mode", "b", "e", "cn", (F.col("cn") * F.col("pb")).alias("cs"))
+    sums = inner.unionByName(border).groupBy("mode", "b", "e").agg(F.sum("cn").alias("n"), F.sum("cs").alias("s"))
+    own = F.when(F.col("e").between(low, high), 1).otherwise(0)
+    others = known.join(sums, ["mode", "b", "e"]).withColumn("s", F.col("s") - own * F.col("b")).withColumn("n", (F.col("n") - own).cast("long"))
+    return others.filter("n > 0").select(F.col("track_id").alias("seed"), "n", (F.col("s") / F.col("n")).alias("bpm"))

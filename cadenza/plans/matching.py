@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import fuzzy, text
-from ..operators import linking, scoring
+from ..operators import documents as json_documents, linking, scoring
 from . import canonical as c
 from .queries import query
 
@@ -127,6 +127,17 @@ def _(p):
     return p.select("page_id", F.coalesce(F.trim(F.split_part(header, F.lit(","), F.lit(1))), F.lit("192.168.1.1")).alias("client"))
 
 
+_PATHS = {"$.user": "user_id", "$.context.device": "device_type", "$.context.Token": None, "$.items[0].track": "track_id", "$.items[0].api_key": None, "$.items[1].track": "surface"}
+
+
+@query("F17_any_depth", " UNION ALL ".join(f"SELECT id, '{p}' AS path, '{'string' if c_ else 'redacted'}' AS kind, {c_ or repr(json_documents.MARK)} AS value FROM listen_events" for p, c_ in _PATHS.items()), c.listen_events)
+def _(e):
+    """Documents made of events, walked to any depth: secrets are hidden wherever they stand."""
+    item = lambda track, key: F.struct(F.col(track).alias("track"), key.alias("api_key"))
+    made = F.struct(F.col("user_id").alias("user"), F.struct(F.col("device_type").alias("device"), F.concat(F.lit("t"), "id").alias("Token")).alias("context"), F.array(item("track_id", F.lit("k")), item("surface", F.lit(None).cast("string"))).alias("items"))
+    return json_documents.leaves(e.select("id", F.to_json(made).alias("json")))
+
+
 @query("F17_redacted", "SELECT event_id AS id, CASE WHEN event_id % 4 = 0 THEN '[redacted]' ELSE (props->>'k') END AS k, event_id % 4 = 0 AS hidden FROM events", lambda s, d: c.read(s, d, "events"))
 def _(e):
     """Flat keys of a document whose names tell of secrets are hidden."""

@@ -142,7 +142,7 @@ def _(e, t, i, ch):
 
 @query("J10_band_neighbours", "SELECT a.track_id AS seed, count(*) AS n, round(avg(b.bpm), 6) AS bpm FROM track_features a JOIN track_features b ON a.mode = b.mode AND abs(a.bpm - b.bpm) <= 15 AND b.energy BETWEEN greatest(a.energy - 0.25, 0) AND least(a.energy + 0.25, 1) AND a.track_id != b.track_id GROUP BY a.track_id")
 def _(e, t, i, ch):
-    return linking.band_neighbours(t()).groupBy("seed").agg(F.count(F.lit(1)).alias("n"), F.avg("bpm").alias("bpm"))
+    return linking.band_sums(t())
 
 
 @query(
