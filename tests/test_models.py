@@ -5,6 +5,7 @@ from __future__ import annotations
 import difflib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from cadenza import registry
@@ -107,3 +108,14 @@ def test_model_ranked_lists(spark):
         names = [artist[t] for _, t in found]
         assert len(found) < 10 or all(names.count(a) <= 2 for a in names)
         assert not {(user, t) for _, t in found} & banned
+
+
+@pytest.mark.parametrize("name", ["M01_implicit_als", "M01a_similar_items"])
+def test_factorisation_drops_its_shuffles(spark, monkeypatch, name):
+    """Every round is checkpointed, so that no more than a few rounds' shuffles are on disk."""
+    from pyspark.ml.recommendation import ALS
+
+    used, fit = [], ALS.fit
+    monkeypatch.setattr(ALS, "fit", lambda self, df: used.append(self.getCheckpointInterval()) or fit(self.setMaxIter(1), df))
+    registry.queries()[name](spark, SF)
+    assert used == [1]
