@@ -29,6 +29,16 @@ def test_recall_and_probed_cells(spark):
     assert len(read) == 13
 
 
+def test_whole_index_is_exact(spark):
+    """Vectors that point anywhere: probed cells miss some of the nearest, all cells none."""
+    rng = np.random.default_rng(4)
+    lib = spark.createDataFrame([(f"p{k}", v.tolist()) for k, v in enumerate(rng.normal(size=(1500, 16)))], "track_id string, v array<double>").cache()
+    asked = lib.limit(20).select(F.col("track_id").alias("query"), "v").cache()
+    exact, index = ivf.build(lib), ivf.build(lib, flat_below=1000)
+    rows = lambda i: sorted((r.query, r.rank, r.track_id) for r in ivf.search(i, asked, 10).collect())
+    assert rows(ivf.whole(index)) == rows(exact) != rows(index)
+
+
 @pytest.mark.parametrize("centred", [False, True])
 def test_flat_is_exact(spark, centred):
     lib = library(spark, 200, 5)
