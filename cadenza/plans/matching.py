@@ -345,13 +345,20 @@ def _(x):
     return x.select("server_id", F.coalesce(F.nullif(s, F.lit("")), F.col("title")).alias("query"))
 
 
+def tiered(t: DataFrame, x: DataFrame) -> DataFrame:
+    """track_id, server_id, tier: the first credit of a track's album by artist and title, by artist, or of all; the least of each group is enough."""
+    tracks = t.select("track_id", "album", F.lower("artist").alias("a"), F.lower("title").alias("n"))
+    named = x.select("album", F.lower("artist").alias("a"), F.lower(F.trim("title")).alias("n"), F.struct(F.col("server_id").isNull().alias("none"), "server_id").alias("s"))
+    found = tracks
+    for tier, keys in ((2, ["album"]), (1, ["album", "a"]), (0, ["album", "a", "n"])):
+        found = found.join(named.groupBy(*keys).agg(F.min("s").alias(f"s{tier}")), keys, "inner" if tier == 2 else "left")
+    best = F.coalesce(*[F.when(F.col(f"s{n}").isNotNull(), F.struct(F.lit(n).alias("tier"), f"s{n}.none", f"s{n}.server_id")) for n in range(3)])
+    return found.groupBy("track_id").agg(F.min(best).alias("x")).select("track_id", "x.server_id", "x.tier")
+
+
 @query("X03_tiered_pick", f"{CREDITS}, tiers AS (SELECT t.track_id, server_id, CASE WHEN lower(c.artist) = lower(t.artist) AND lower(trim(c.title)) = lower(t.title) THEN 0 WHEN lower(c.artist) = lower(t.artist) THEN 1 ELSE 2 END AS tier FROM track_features t JOIN credits c USING (album)) SELECT track_id, server_id, tier FROM tiers QUALIFY row_number() OVER (PARTITION BY track_id ORDER BY tier, server_id) = 1", c.track_features, credits)
 def _(t, x):
-    joined = t.select("track_id", "album", F.col("artist").alias("a"), F.col("title").alias("n")).join(x, "album")
-    same = F.lower("artist") == F.lower("a")
-    tier = F.when(same & (F.lower(F.trim("title")) == F.lower("n")), 0).when(same, 1).otherwise(2)
-    best = joined.groupBy("track_id").agg(F.min(F.struct(tier.alias("tier"), "server_id")).alias("x"))
-    return best.select("track_id", "x.server_id", "x.tier")
+    return tiered(t, x)
 
 
 @query("X04_closest_duration", f"{CREDITS} SELECT t.track_id, arg_min(server_id, abs(duration - duration_ms // 1000) * 1000000 + substr(server_id, 2)::BIGINT) AS server_id FROM track_features t JOIN credits c USING (album) GROUP BY t.track_id", c.track_features, credits)
