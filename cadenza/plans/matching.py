@@ -356,6 +356,25 @@ def tiered(t: DataFrame, x: DataFrame) -> DataFrame:
     return found.groupBy("track_id").agg(F.min(best).alias("x")).select("track_id", "x.server_id", "x.tier")
 
 
+def closest_duration(t: DataFrame, x: DataFrame) -> DataFrame:
+    """track_id, server_id: of the credits of a track's album that of the least distance in seconds times a million plus number.
+
+    Of shorter credits that is the least of number less duration, of longer ones of number plus
+    duration; both are running minima along the durations of an album, so that no pairs are made.
+    """
+    number = F.substring("server_id", 2, 20).cast("long")
+    scale = F.lit(1_000_000)
+    asks = t.select("album", F.floor(F.col("duration_ms") / 1000).cast("long").alias("d"), "track_id", F.lit(None).cast("string").alias("server_id"), F.lit(None).cast("long").alias("number"))
+    has = x.select("album", F.col("duration").cast("long").alias("d"), F.lit(None).cast("string").alias("track_id"), "server_id", number.alias("number"))
+    rows = asks.withColumn("credit", F.lit(False)).unionByName(has.withColumn("credit", F.lit(True)))
+    up, down = Window.partitionBy("album").orderBy(F.asc("d")), Window.partitionBy("album").orderBy(F.desc("d"))
+    key = lambda sign: F.min(F.when(F.col("credit") & (F.col("d") * F.col("number")).isNotNull(), F.struct((F.col("number") + sign * scale * F.col("d")).alias("key"), "number", "server_id")))
+    met = rows.withColumn("below", key(-1).over(up)).withColumn("n", F.count_if("credit").over(up)).withColumn("above", key(1).over(down)).withColumn("m", F.count_if("credit").over(down))
+    near = lambda c, sign: F.when(F.col("d").isNotNull() & F.col(c).isNotNull(), F.struct((F.col(f"{c}.key") - sign * scale * F.col("d")).alias("key"), f"{c}.number", f"{c}.server_id"))
+    best = met.filter("NOT credit AND n + m > 0").select("track_id", F.least(near("below", -1), near("above", 1)).alias("x"))
+    return best.groupBy("track_id").agg(F.min("x").alias("x")).select("track_id", "x.server_id")
+
+
 @query("X03_tiered_pick", f"{CREDITS}, tiers AS (SELECT t.track_id, server_id, CASE WHEN lower(c.artist) = lower(t.artist) AND lower(trim(c.title)) = lower(t.title) THEN 0 WHEN lower(c.artist) = lower(t.artist) THEN 1 ELSE 2 END AS tier FROM track_features t JOIN credits c USING (album)) SELECT track_id, server_id, tier FROM tiers QUALIFY row_number() OVER (PARTITION BY track_id ORDER BY tier, server_id) = 1", c.track_features, credits)
 def _(t, x):
     return tiered(t, x)
@@ -363,8 +382,7 @@ def _(t, x):
 
 @query("X04_closest_duration", f"{CREDITS} SELECT t.track_id, arg_min(server_id, abs(duration - duration_ms // 1000) * 1000000 + substr(server_id, 2)::BIGINT) AS server_id FROM track_features t JOIN credits c USING (album) GROUP BY t.track_id", c.track_features, credits)
 def _(t, x):
-    apart = F.abs(F.col("duration") - F.floor(F.col("duration_ms") / 1000))
-    return t.select("track_id", "album", "duration_ms").join(x, "album").groupBy("track_id").agg(F.min_by("server_id", F.struct(apart, F.substring("server_id", 2, 20).cast("long"))).alias("server_id"))
+    return closest_duration(t, x)
 
 
 @query("X14_service_priority", "hits AS (SELECT o_custkey AS target, list_position(['1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED', '5-LOW'], o_orderpriority) AS priority, o_totalprice AS score, o_orderkey AS id FROM orders WHERE o_totalprice > 100000) SELECT target, id, priority::INT AS priority FROM hits QUALIFY row_number() OVER (PARTITION BY target ORDER BY priority, score DESC, id) = 1", lambda s, d: c.read(s, d, "orders"))

@@ -29,3 +29,14 @@ def test_first_by_tier(spark):
 
     want = {(a[0], *min((tier(a, c), c[0]) for c in own)[::-1]) for a, own in albums(tracks, credits)}
     assert set(map(tuple, matching.tiered(t, x).collect())) == want
+
+
+def test_closest_by_duration_and_number(spark):
+    """Numbers beyond a million weigh as much as seconds, as in the SQL."""
+    tracks, credits, t, x = library(spark)
+    least = {}
+    for a, own in albums(tracks, credits):
+        costs = [] if a[4] is None else sorted((abs(c[4] - a[4] // 1000) * 1_000_000 + int(c[0][1:]), c[0]) for c in own)
+        least[a[0]] = {s for k, s in costs if k == costs[0][0]} or {None}
+    got = dict(map(tuple, matching.closest_duration(t, x).collect()))
+    assert got.keys() == least.keys() and all(got[k] in least[k] for k in got)
