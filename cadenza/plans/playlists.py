@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import fuzzy, text
 from ..operators import chains, linking, radio, scoring, sessions, vectors
+from ..sources import shared
 from . import canonical as c, matching, recommend
 from .canonical import NOW
 from .queries import SESSIONS, query
@@ -129,14 +130,25 @@ def _(e, v):
     return radio_sessions(e, v).filter(F.col("last_active") >= NOW - radio.TTL_S).orderBy(F.desc("last_active"), "user_id").limit(50).select("user_id", "session_no", "last_active")
 
 
+def radio_batch(e: DataFrame, v: DataFrame, k: int = 10) -> DataFrame:
+    """What was not served counts in full, so the first k of a user are among the k + m nearest, where m were served, and those m."""
+    u = shared.stored(v.select("track_id", text.unit(F.col("v")).alias("u")).filter("u IS NOT NULL"), "units")
+    asked = shared.stored(drift(e, v).select("user_id", F.col("v").alias("d")), "drifts")
+    d = asked.filter("d IS NOT NULL")
+    served = e.filter("event_type = 'reco_impression'").groupBy("user_id", "track_id").agg(F.count(F.lit(1)).alias("n"))
+    served = shared.stored(served.join(u.select("track_id"), "track_id", "left_semi"), "served")
+    most = d.join(served.groupBy("user_id").agg(F.count(F.lit(1)).alias("m")), "user_id", "left").select("user_id", "d", (F.coalesce("m", F.lit(0)) + k).alias("k"))
+    own = served.join(d, "user_id").join(u, "track_id").select("user_id", "track_id", text.dot(F.col("d"), F.col("u")).alias("s"), "n")
+    other = vectors.best_of_all(most, u).join(served, ["user_id", "track_id"], "left_anti").select("user_id", "track_id", "s", F.lit(0).cast("long").alias("n"))
+    score = F.round(F.round("s", 9) * F.greatest(1 - F.col("n") / 6.0, F.lit(0.5)), 8)
+    anywhere = asked.filter("d IS NULL").select("user_id").join(F.broadcast(v.select("track_id").orderBy("track_id").limit(k))).select("user_id", "track_id", F.lit(None).cast("double").alias("s"), F.lit(0).cast("long").alias("n"))
+    return scoring.top_per(own.unionByName(other).unionByName(anywhere).withColumn("score", score), ["user_id"], [F.desc("score"), F.col("track_id")], k).select("user_id", "track_id", F.col("rank").alias("place"))
+
+
 @query("D18_radio_batch", f"{_FEEDBACK}, near AS (SELECT user_id, track_id, round(list_dot_product(d, u) / sqrt(list_dot_product(d, d)), 9) AS s FROM drift, units), cool AS (SELECT user_id, track_id, count(*) AS n FROM listen_events WHERE event_type = 'reco_impression' GROUP BY ALL), blended AS (SELECT near.user_id, near.track_id, round(s * greatest(1 - coalesce(n, 0) / 6.0::DOUBLE, 0.5), 8) AS score FROM near LEFT JOIN cool USING (user_id, track_id)) SELECT user_id, track_id, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, track_id)::INT AS place FROM blended QUALIFY place <= 10", events, library_vectors)
 def _(e, v):
     """The ten next of each asked session: likeness to its drift, less for what was served before."""
-    asked = drift(e, v).select("user_id", F.col("v").alias("d"))
-    near = v.select("track_id", text.unit(F.col("v")).alias("u")).join(F.broadcast(asked)).select("user_id", "track_id", F.round(text.dot(F.col("d"), F.col("u")), 9).alias("s"))
-    served = e.filter("event_type = 'reco_impression'").groupBy("user_id", "track_id").agg(F.count(F.lit(1)).alias("n"))
-    blended = near.join(served, ["user_id", "track_id"], "left").withColumn("score", F.round(F.col("s") * F.greatest(1 - F.coalesce("n", F.lit(0)) / 6.0, F.lit(0.5)), 8))
-    return scoring.top_per(blended, ["user_id"], [F.desc("score"), F.col("track_id")], 10).select("user_id", "track_id", F.col("rank").alias("place"))
+    return radio_batch(e, v)
 
 
 @query("X25_radio_sessions", f"SELECT user_id, session_id, min(ts) AS started_at, count(*) AS events FROM listen_events WHERE surface = 'radio' AND session_id IS NOT NULL AND user_id = 'u1' GROUP BY ALL", events)
