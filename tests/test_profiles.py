@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+from cadenza.operators import scoring
 from cadenza.plans import profiles
 from pyspark.sql import functions as F
 
@@ -23,3 +26,12 @@ def test_means_at_scales(spark):
     assert first_is_spread(made)
     got = {(r.user_id, r.feature): r["mean"] for r in made.filter(F.col("scale") == list(profiles.SCALES)[-1]).collect()}
     assert got["b", "bpm"] == 80.0 and got["b", "energy"] == 0.3 and got["a", "energy"] is None and 60 <= got["a", "bpm"] <= 100
+
+
+def test_weighted_stats_leave_nulls_out(spark):
+    made = scoring.weighted_stats(plays(spark), ["bpm", "energy", "valence"], F.col("satisfaction"))
+    assert first_is_spread(made)
+    got = {(r.user_id, r.feature): (r["mean"], r.deviation) for r in made.collect()}
+    mean = (0.5 * 100 + 0.1 * 60) / 0.6
+    assert math.isclose(got["a", "bpm"][0], mean) and math.isclose(got["a", "bpm"][1], math.sqrt((0.5 * 100**2 + 0.1 * 60**2) / 0.6 - mean**2))
+    assert got["a", "valence"] == (0.2, 0.0) and ("a", "energy") not in got
