@@ -58,3 +58,16 @@ def test_odd_vectors(spark):
     got = sorted((r.query, r.rank, r.track_id) for r in ivf.neighbours(lib, 5).collect())
     assert got == [("a", 1, "b"), ("a", 2, "c"), ("b", 1, "a"), ("b", 2, "c"), ("c", 1, "a"), ("c", 2, "b")]
     assert ivf.neighbours(lib.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("flat_below", [50_000, 1000])
+def test_many_queries_of_a_cell_are_dealt(spark, monkeypatch, flat_below):
+    """Queries of a cell are answered by several tasks, each of which reads all its shards."""
+    lib = library(spark, 1500).cache()
+    index = ivf.build(lib, flat_below=flat_below, shard_rows=400)
+    asked = lib.select(F.col("track_id").alias("query"), "v")
+    rows = lambda: sorted((r.query, r.rank, r.track_id, r.score) for r in ivf.search(index, asked, 5, 400).collect())
+    one = rows()
+    monkeypatch.setattr(ivf, "ASKED", 10)
+    assert rows() == one and len(one) == 7500
+    assert max(ivf.dealt(index, asked, 400)[1].values()) >= 15

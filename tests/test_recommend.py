@@ -39,3 +39,12 @@ def test_sources_are_made_once(spark, monkeypatch):
     monkeypatch.setattr(ivf, "build", lambda *a, **k: made.append(1) or build(*a, **k))
     recommend.united(*(g(spark, SF) for g in (c.interactions, c.track_features, c.similar_edges, c.track_vectors)))
     assert len(made) == 1
+
+
+@pytest.mark.parametrize("most", [recommend.SENT_IDS, 0])
+def test_only_plays_of_embedded_tracks_meet_the_vectors(spark, most):
+    i = spark.createDataFrame([("u1", "p1", 0.5), ("u1", "p2", 0.9), ("u2", "p3", 0.1)], "user_id string, track_id string, satisfaction double")
+    v = spark.createDataFrame([("p1", [3.0, 0.0]), ("p3", [0.0, 2.0])], "track_id string, v array<double>")
+    kept = recommend.embedded(i, v, most)
+    assert sorted((r.user_id, r.track_id) for r in kept.collect()) == [("u1", "p1"), ("u2", "p3")]
+    assert {r.user_id: r.t for r in recommend.taste(i, v).collect()} == {"u1": [1.0, 0.0], "u2": [0.0, 1.0]}
