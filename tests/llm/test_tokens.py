@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import random
 
+import pyarrow as pa
 from tokenizers import Tokenizer
 
+from cadenza.llm import neardup, packing, tokens
 from cadenza.llm.tokens import ChunkTokenizer, default_path
 
 ODD = ["Straße", "İstanbul", "ΣΑΣ.", "ﬁn", "éa", "ǅ", "K", "中文字", "a1", "don't", "...", "x&&&", "ÉCOLE!", "ʰa", "\U0001e030b", "ªº", "अआ", "क्ष"]
@@ -25,3 +27,18 @@ def test_runs_of_letters_are_encoded_jointly():
     calls, plain_encode = [], own._encode
     own._encode = lambda words: calls.append(len(words)) or plain_encode(words)
     assert own._encode_letters(few) == plain_encode(few) and not calls
+
+
+def test_later_stages_do_not_keep_what_packing_remembered(spark):
+    """One task after another in the same worker: after the signatures no tokenizer is held."""
+    docs = spark.createDataFrame([(k, f"some words of document {k}") for k in range(4)], "doc_id long, text string").coalesce(1)
+
+    def held(batches):
+        for batch in batches:
+            yield batch.slice(0, 1).set_column(0, "doc_id", pa.array([len(tokens._known)], pa.int64()))
+
+    count = lambda df: df.coalesce(1).mapInArrow(held, "doc_id long, text string").first().doc_id
+    packing.tokenise(docs).count()
+    assert count(docs) == 1
+    neardup.signatures(docs, "doc_id", "text", 5, 4, 8).count()
+    assert count(docs) == 0
