@@ -6,7 +6,7 @@ import random
 
 import pytest
 
-from cadenza.operators import ivf
+from cadenza.operators import ivf, recommending
 from cadenza.plans import canonical as c, recommend
 
 SF = "/root/testdata/sf0.001"
@@ -48,3 +48,21 @@ def test_only_plays_of_embedded_tracks_meet_the_vectors(spark, most):
     kept = recommend.embedded(i, v, most)
     assert sorted((r.user_id, r.track_id) for r in kept.collect()) == [("u1", "p1"), ("u2", "p3")]
     assert {r.user_id: r.t for r in recommend.taste(i, v).collect()} == {"u1": [1.0, 0.0], "u2": [0.0, 1.0]}
+
+
+def test_weak_sources_are_asked_for_open_users_only(spark):
+    """Users with too few strong candidates over the bound get weak ones; the result is that of all sources at once."""
+    rng, row = random.Random(9), "user_id string, track_id string, score double"
+    strong = {s: spark.createDataFrame([(f"u{u}", f"t{k}", rng.choice([0.1, 0.3, 0.3 / 0.7, 0.5, 0.9])) for u in range(12) for k in rng.sample(range(30), 2 * u + 1)], row) for s in ("content", "external")}
+    weak = {s: spark.createDataFrame([(f"u{u}", f"t{k}", 1.0) for u in range(13) for k in rng.sample(range(40), 8)], row) for s in ("artist", "popular")}
+    out = spark.createDataFrame([(f"u{u}", f"t{rng.randrange(40)}") for u in range(12) for _ in range(4)], "user_id string, track_id string")
+    users, asked = spark.createDataFrame([(f"u{u}",) for u in range(13)], "user_id string"), []
+
+    def of(open_):
+        asked.extend(r.user_id for r in open_.collect())
+        return {s: d.join(open_, "user_id", "left_semi") for s, d in weak.items()}
+
+    names = ("user_id", "track_id", "source", "priority", "score", "place")
+    rows = lambda d: sorted(tuple(r[c] for c in names) for r in d.collect())
+    got = rows(recommending.merge_in_turn(strong, of, 0.3, users, out, 10))
+    assert got == rows(recommending.merge({**strong, **weak}, out, 10)) and 2 < len(set(asked)) < 13
