@@ -172,50 +172,77 @@ class Model:
             out[known] = self.rank[slot[known]]
         return out
 
-    def _step(self, row: np.ndarray, h: np.ndarray) -> tuple:
-        w, k = self.w, HIDDEN
-        a = h @ w["u"]
-        x = w["x"][row] + w["b"]
-        zr = 1 / (1 + np.exp(-(x[:, : 2 * k] + a[:, : 2 * k])))
-        z, r = zr[:, :k], zr[:, k:]
-        n = np.tanh(x[:, 2 * k :] + r * a[:, 2 * k :])
-        return n + z * (h - n), z, r, n, a[:, 2 * k :]
+    def _gates(self, w: np.ndarray) -> np.ndarray:
+        """Columns for the two gates and the candidate, each for itself."""
+        return np.ascontiguousarray(w.reshape(len(w), 3, HIDDEN).transpose(1, 0, 2))
+
+    def _step(self, x: np.ndarray, u: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The next state and what the reset gate met; x, the input's share, becomes both gates and the candidate."""
+        a = np.matmul(h, u)
+        zr, n = x[:2], x[2]
+        zr += a[:2]
+        np.negative(zr, out=zr)
+        np.exp(zr, out=zr)
+        zr += 1
+        np.reciprocal(zr, out=zr)
+        n += zr[1] * a[2]
+        np.tanh(n, out=n)
+        new = h - n
+        new *= zr[0]
+        new += n
+        return new, a[2]
+
+    def _exp(self, logits: np.ndarray, c: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """exp of logits, in place, and its sums by row; taken from the greatest first where they could overflow."""
+        shift = np.zeros((len(logits), 1), np.float32)
+        if float((np.abs(c).sum(0) + np.abs(d)).max()) > 60:  # states lie between -1 and 1
+            shift = logits.max(1, keepdims=True)
+            logits -= shift
+        np.exp(logits, out=logits)
+        total = logits @ np.ones(logits.shape[1], np.float32)
+        return total, np.log(total) + shift[:, 0]
 
     def outputs(self, h: np.ndarray, row: np.ndarray, gradients: bool = False) -> tuple:
         """ln P(class) + ln P(word | class) of frequent words, ln P(class) of rare ones; and the gradient of its negative."""
         w = self.w
-        logits = h @ w["c"] + w["d"]
-        logits -= logits.max(1, keepdims=True)
-        e = np.exp(logits)
-        total = e.sum(1, keepdims=True)
-        frequent = row < FREQUENT
-        kind = np.where(frequent, row // CLASS, _HEADS + row - FREQUENT)
+        order = np.argsort(row.astype(np.int16), kind="stable")
+        h, row = h[order], row[order]
         at = np.arange(len(row))
-        ln = logits[at, kind] - np.log(total[:, 0])
+        kind = np.where(row < FREQUENT, row // CLASS, _HEADS + row - FREQUENT)
+        e = h @ w["c"]
+        e += w["d"]
+        ln = e[at, kind]
+        total, log = self._exp(e, w["c"], w["d"])
+        ln -= log
         if gradients:
-            e /= total
+            e *= (1 / total)[:, None]
             e[at, kind] -= 1
-            grad = {"c": h.T @ e, "d": e.sum(0), "f": np.zeros_like(w["f"]), "g": np.zeros_like(w["g"])}
+            grad = {"c": h.T @ e, "d": np.ones(len(e), np.float32) @ e, "f": np.zeros_like(w["f"]), "g": np.zeros_like(w["g"])}
             dh = e @ w["c"].T
-        order = np.flatnonzero(frequent)
-        order = order[np.argsort(kind[order], kind="stable")]
-        cuts = np.searchsorted(kind[order], np.arange(_HEADS + 1))
+        cuts = np.searchsorted(row, np.arange(_HEADS + 1) * CLASS).tolist()
         for k in range(_HEADS):
-            own = order[cuts[k] : cuts[k + 1]]
-            if not len(own):
+            own = slice(cuts[k], cuts[k + 1])
+            n = cuts[k + 1] - cuts[k]
+            if not n:
                 continue
-            s = h[own] @ w["f"][k] + w["g"][k]
-            s -= s.max(1, keepdims=True)
-            p = np.exp(s)
-            sums = p.sum(1, keepdims=True)
-            local, rows = row[own] % CLASS, np.arange(len(own))
-            ln[own] += s[rows, local] - np.log(sums[:, 0])
+            p = h[own] @ w["f"][k]
+            p += w["g"][k]
+            local, rows = row[own] % CLASS, at[:n]
+            some = p[rows, local]
+            sums, log = self._exp(p, w["f"][k], w["g"][k])
+            ln[own] += some - log
             if gradients:
-                p /= sums
+                p *= (1 / sums)[:, None]
                 p[rows, local] -= 1
-                grad["f"][k], grad["g"][k] = h[own].T @ p, p.sum(0)
+                grad["f"][k], grad["g"][k] = h[own].T @ p, np.ones(n, np.float32) @ p
                 dh[own] += p @ w["f"][k].T
-        return (ln, dh, grad) if gradients else (ln,)
+        back = np.empty_like(ln)
+        back[order] = ln
+        if not gradients:
+            return (back,)
+        dh_back = np.empty_like(dh)
+        dh_back[order] = dh
+        return back, dh_back, grad
 
     def _update(self, grad: dict[str, np.ndarray], n: int, rate: float) -> None:
         for k, g in grad.items():
@@ -229,65 +256,68 @@ class Model:
             h = np.zeros((len(docs), HIDDEN), np.float32)
             for t in range(0, seen.shape[0], WINDOW):
                 part, on = seen[t : t + WINDOW], live[t : t + WINDOW]
-                m = int(on[0].sum())
-                part, on, h = part[:, :m], on[:, :m], h[:m]
-                h = self._window(part, on, h, rate)
+                h = self._window(part[on], on.sum(1).tolist(), h, rate)
 
-    def _window(self, part: np.ndarray, on: np.ndarray, h: np.ndarray, rate: float) -> np.ndarray:
-        """Scores each token from the state before it, then goes back through the window."""
+    def _window(self, row: np.ndarray, counts: list[int], h: np.ndarray, rate: float) -> np.ndarray:
+        """Scores each token from the state before it, then goes back through the window; at each step the first of the lanes go on."""
         k, w = HIDDEN, self.w
-        steps, before = [], []
-        for s in range(len(part)):
-            before.append(h)
-            new, z, r, n, a = self._step(part[s], h)
-            steps.append((z, r, n, a))
-            h = np.where(on[s][:, None], new, h)
-        states = np.concatenate(before)
-        flat = on.reshape(-1)
-        row = part.reshape(-1)
-        _, dh_some, grad = self.outputs(states[flat], row[flat], gradients=True)
-        dh_all = np.zeros_like(states)
-        dh_all[flat] = dh_some
-        dh_all = dh_all.reshape(len(part), -1, k)
+        cuts = np.r_[0, np.cumsum(counts)].tolist()
+        h = h[: counts[0]].copy()
+        x, u = np.take(self._gates(w["x"] + w["b"]), row, axis=1), self._gates(w["u"])
+        states, met = np.empty((len(row), k), np.float32), np.empty((len(row), k), np.float32)
+        for s, m in enumerate(counts):
+            at = slice(cuts[s], cuts[s + 1])
+            states[at] = h[:m]
+            h[:m], met[at] = self._step(x[:, at], u, states[at])
+        _, dh, grad = self.outputs(states, row, gradients=True)
+        z, r, n = x
+        # what a step's gradient is multiplied by, for all steps at once
+        to_n = (1 - z) * (1 - n * n)
+        to_z = (states - n) * z * (1 - z)
+        to_r = met * r * (1 - r)
+        da, dn = np.empty_like(x), np.empty_like(states)
         carried = np.zeros_like(h)
-        dx = np.zeros((*part.shape, 3 * k), np.float32)
-        du = np.zeros_like(w["u"])
-        for s in range(len(part) - 1, -1, -1):
-            z, r, n, a = steps[s]
-            d = np.where(on[s][:, None], carried, 0)
-            dn = d * (1 - z) * (1 - n * n)
-            dz = d * (before[s] - n) * z * (1 - z)
-            dr = dn * a * r * (1 - r)
-            da = np.concatenate([dz, dr, dn * r], axis=1)
-            dx[s] = np.concatenate([dz, dr, dn], axis=1)
-            du += before[s].T @ da
-            carried = np.where(on[s][:, None], d * z + da @ w["u"].T, carried) + dh_all[s]
-        dx = dx.reshape(-1, 3 * k)
-        order = np.argsort(row, kind="stable")
+        back = np.ascontiguousarray(u.transpose(0, 2, 1))
+        for s in range(len(counts) - 1, -1, -1):
+            at, d = slice(cuts[s], cuts[s + 1]), carried[: counts[s]]
+            own = np.multiply(d, to_n[at], out=dn[at])
+            a = da[:, at]
+            np.multiply(d, to_z[at], out=a[0])
+            np.multiply(own, to_r[at], out=a[1])
+            np.multiply(own, r[at], out=a[2])
+            d *= z[at]
+            for gate in range(3):
+                d += a[gate] @ back[gate]
+            d += dh[at]
+        du = np.concatenate([states.T @ part for part in da], axis=1)
+        da = np.concatenate([da[0], da[1], dn], axis=1)
+        order = np.argsort(row.astype(np.int16), kind="stable")
         heads = np.flatnonzero(np.r_[True, np.diff(row[order]) != 0])
-        sums = np.add.reduceat(dx[order], heads)
-        which, n = row[order][heads], int(flat.sum())
+        sums = np.add.reduceat(da[order], heads)
+        which, n = row[order][heads], len(row)
         g = sums / n
         self.grown["x"][which] += g * g
         w["x"][which] -= rate * g / np.sqrt(self.grown["x"][which])
-        self._update(grad | {"u": du, "b": dx.sum(0)}, n, rate)
+        self._update(grad | {"u": du, "b": sums.sum(0)}, n, rate)
         return h
 
     def score(self, rows: np.ndarray, first: np.ndarray) -> np.ndarray:
         """ln P of every token, given all before it in its document (rare words: of their class)."""
         out = np.zeros(len(rows))
+        table, u = self._gates(self.w["x"] + self.w["b"]), self._gates(self.w["u"])
         for docs, seen, live in _lanes(rows, first, SCORE_BATCH):
             h = np.zeros((len(docs), HIDDEN), np.float32)
             for t in range(0, seen.shape[0], WINDOW):
                 part, on = seen[t : t + WINDOW], live[t : t + WINDOW]
-                m = int(on[0].sum())
-                part, on, h = part[:, :m], on[:, :m], h[:m]
-                states = np.empty((len(part), m, HIDDEN), np.float32)
-                for s in range(len(part)):
-                    states[s] = h
-                    h = self._step(part[s], h)[0]
+                row, counts = part[on], on.sum(1).tolist()
+                cuts = np.r_[0, np.cumsum(counts)].tolist()
+                x, states = np.take(table, row, axis=1), np.empty((len(row), HIDDEN), np.float32)
+                for s, m in enumerate(counts):
+                    at = slice(cuts[s], cuts[s + 1])
+                    states[at] = h[:m]
+                    h[:m] = self._step(x[:, at], u, states[at])[0]
                 s, d = np.nonzero(on)
-                out[first[docs[d]] + t + s] = self.outputs(states[s, d], part[s, d])[0]
+                out[first[docs[d]] + t + s] = self.outputs(states, row)[0]
         return out
 
 

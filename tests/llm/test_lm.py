@@ -27,3 +27,33 @@ def test_weights_do_not_depend_on_partitions(spark):
     start = lm.Model(np.unique(lm.tokens(data, offsets)[0])[: lm.FREQUENT])
     one, other = (lm._averaged(docs.repartition(n), start, 3) for n in (1, 7))
     assert all((one[k] == other[k]).all() for k in one)
+
+
+def test_only_tokens_take_steps(monkeypatch):
+    """Lanes whose document has ended take no step, in training and in scoring; scores are those of a plain loop."""
+    rng = np.random.default_rng(4)
+    first = np.r_[0, np.cumsum([40, 1, 17, 33])]
+    rows = rng.integers(0, lm.FREQUENT + lm.RARE, first[-1])
+    model, steps, plain = lm.Model(np.arange(lm.FREQUENT)), [], lm.Model._step
+
+    def counted(self, *args):
+        steps.append(len(args[-1]))
+        return plain(self, *args)
+
+    monkeypatch.setattr(lm.Model, "_step", counted)
+    model.train(rows, first)
+    got = model.score(rows, first)
+    assert sum(steps) == 2 * len(rows)
+    w, k, want = model.w, lm.HIDDEN, []
+    soft = lambda x: x - np.log(np.exp(x).sum())
+    for a, b in zip(first[:-1], first[1:], strict=True):
+        h = np.zeros(k)
+        for row in rows[a:b]:
+            c = row // lm.CLASS if row < lm.FREQUENT else lm.FREQUENT // lm.CLASS + row - lm.FREQUENT
+            ln = soft(h @ w["c"] + w["d"])[c]
+            want.append(ln + soft(h @ w["f"][c] + w["g"][c])[row % lm.CLASS] if row < lm.FREQUENT else ln)
+            x, u = w["x"][row] + w["b"], h @ w["u"]
+            z, r = 1 / (1 + np.exp(-(x[:k] + u[:k]))), 1 / (1 + np.exp(-(x[k : 2 * k] + u[k : 2 * k])))
+            n = np.tanh(x[2 * k :] + r * u[2 * k :])
+            h = n + z * (h - n)
+    assert np.allclose(got, want, atol=1e-4)
