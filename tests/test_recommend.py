@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 import pytest
 
@@ -66,3 +67,12 @@ def test_weak_sources_are_asked_for_open_users_only(spark):
     rows = lambda d: sorted(tuple(r[c] for c in names) for r in d.collect())
     got = rows(recommending.merge_in_turn(strong, of, 0.3, users, out, 10))
     assert got == rows(recommending.merge({**strong, **weak}, out, 10)) and 2 < len(set(asked)) < 13
+
+
+def test_lists_of_users_are_dealt_once(spark):
+    """What an outside service relates, and the presets of the dial, are shuffled by user before they are multiplied."""
+    import __spark_entry__
+
+    for name in ("D09_external_candidates", "E09_preset_report"):
+        plan = __spark_entry__.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert not re.search(r"hashpartitioning\(user_id#\d+, track_id|hashpartitioning\(dial#\d+, user_id", plan)
