@@ -230,7 +230,9 @@ def _(t):
 def _(i):
     """Novelty and reach of the first five at each preset of the discovery dial."""
     pop = i.groupBy("track_id").agg(F.sum("play_count").alias("p"))
-    each = i.join(pop, "track_id").withColumn("dial", F.explode(F.array(*map(F.lit, (0.0, 0.3, 0.6, 1.0)))))
+    # dealt by user before the presets multiply the rows
+    own = i.join(pop, "track_id").select("user_id", "track_id", "satisfaction", "p").repartition("user_id")
+    each = own.withColumn("dial", F.explode(F.array(*map(F.lit, (0.0, 0.3, 0.6, 1.0)))))
     score = F.round((1 - F.col("dial")) * F.col("satisfaction") + F.col("dial") / (1 + F.col("p")), 9)
     top = scoring.top_per(each, ["dial", "user_id"], [F.desc(score), F.col("track_id")], 5)
     return top.groupBy("dial").agg(F.avg(1.0 / (1 + F.col("p"))).alias("novelty"), F.countDistinct("track_id").alias("tracks"))
