@@ -5,9 +5,10 @@ from __future__ import annotations
 import random
 import re
 
+import pyarrow as pa
 import pytest
 
-from cadenza.operators import ivf, recommending
+from cadenza.operators import ivf, ranking, recommending
 from cadenza.plans import canonical as c, recommend
 
 SF = "/root/testdata/sf0.001"
@@ -76,3 +77,32 @@ def test_lists_of_users_are_dealt_once(spark):
     for name in ("D09_external_candidates", "E09_preset_report"):
         plan = __spark_entry__.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert not re.search(r"hashpartitioning\(user_id#\d+, track_id|hashpartitioning\(dial#\d+, user_id", plan)
+
+
+def test_best_of_lists_over_batches():
+    """A user's lists may go on in the next batch; each track counts with its best score, nulls come last."""
+    rng = random.Random(5)
+    lists = [(f"u{u}", [(f"t{rng.randrange(20)}", rng.choice([None, 0.1, 0.5, 0.9])) for _ in range(rng.randrange(8))]) for u in range(6) for _ in range(rng.randrange(1, 9))]
+    want = {}
+    for user, own in lists:
+        for track, score in own:
+            want.setdefault(user, {}).setdefault(track, []).append(-1.0 if score is None else score)
+    want = {(u, t) for u, own in want.items() for _, t in sorted((-max(s), t) for t, s in own.items())[:7]}
+    schema = pa.schema([("user_id", pa.string()), ("track_id", pa.list_(pa.string())), ("score", pa.list_(pa.float64())), ("place", pa.list_(pa.float64()))])
+    columns = lambda rows: [[u for u, _ in rows], [[t for t, _ in o] for _, o in rows], *[[[s for _, s in o] for _, o in rows]] * 2]
+    for size in (1, 4, 100):
+        batches = (pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns(lists[n : n + size]), schema, strict=True)], schema=schema) for n in range(0, len(lists), size))
+        got = [(r["user_id"], r["track_id"]) for b in ranking.best_of_lists(batches, 7) for r in b.to_pylist()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_of_settled_users_only_their_list_is_written(spark, monkeypatch):
+    """Candidates beyond the list are kept for users alone who may still get weak ones."""
+    kept, stored = {}, recommending.shared.stored
+    monkeypatch.setattr(recommending.shared, "stored", lambda df, name, *by: kept.setdefault(name, stored(df, name, *by)))
+    strong = {"content": spark.createDataFrame([(u, f"t{k}", s) for u, s in (("u1", 0.9), ("u2", 0.2)) for k in range(30)], "user_id string, track_id string, score double")}
+    weak = spark.createDataFrame([("u2", "t1", 1.0)], "user_id string, track_id string, score double")
+    users = spark.createDataFrame([("u1",), ("u2",)], "user_id string")
+    made = recommending.merge_in_turn(strong, lambda open_: {"popular": weak}, 0.3, users, users.selectExpr("user_id", "'t99' AS track_id"), 10)
+    assert made.count() == 20
+    assert {r.user_id: r["count"] for r in kept["strong-candidates"].groupBy("user_id").count().collect()} == {"u1": 10, "u2": 30}
