@@ -71,3 +71,15 @@ def test_many_queries_of_a_cell_are_dealt(spark, monkeypatch, flat_below):
     monkeypatch.setattr(ivf, "ASKED", 10)
     assert rows() == one and len(one) == 7500
     assert max(ivf.dealt(index, asked, 400)[1].values()) >= 15
+
+
+def test_sample_leaves_what_it_cannot_hold(spark):
+    """The sample is the first by hash, and each task takes part with few rows, however many tasks there are."""
+    n, most = 20_000, 500
+    units = spark.range(n, numPartitions=16).select(F.concat(F.lit("p"), F.col("id").cast("string")).alias("track_id"))
+    made = ivf.sampled(units, n, most)
+    want = [r.track_id for r in units.orderBy(F.xxhash64("track_id"), "track_id").limit(most).collect()]
+    assert [r.track_id for r in made.collect()] == want
+    assert "xxhash64(track_id" in (plan := made._jdf.queryExecution().optimizedPlan().toString()) and "Filter (xxhash64" in plan
+    same = spark.range(n).select(F.lit("p1").alias("track_id"))
+    assert ivf.sampled(same, n, most).count() == most
