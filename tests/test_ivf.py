@@ -83,3 +83,16 @@ def test_sample_leaves_what_it_cannot_hold(spark):
     assert "xxhash64(track_id" in (plan := made._jdf.queryExecution().optimizedPlan().toString()) and "Filter (xxhash64" in plan
     same = spark.range(n).select(F.lit("p1").alias("track_id"))
     assert ivf.sampled(same, n, most).count() == most
+
+
+def test_sent_index_finds_the_same(spark):
+    """Queries that meet the whole index where they are: the same answers without a shuffle, and none for odd vectors."""
+    lib = library(spark, 700).cache()
+    index = ivf.build(lib)
+    odd = [("x1", None), ("x2", []), ("x3", [0.0] * 16), ("x4", [float("nan")] + [1.0] * 15), ("x5", [None] + [1.0] * 15), ("x6", [1.0] * 15), (None, [1.0] * 16), ("x7", [2.0] * 16)]
+    asked = lib.select(F.col("track_id").alias("query"), "v").unionByName(spark.createDataFrame(odd, "query string, v array<double>"))
+    found = ivf.sent(index, asked, 10)
+    rows = lambda df: sorted((r.query, r.track_id, round(r.score, 8)) for r in df.collect())
+    assert rows(found) == rows(ivf.search(index, asked, 10)) and found.count() == 7010
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert ivf.sendable(index) and not ivf.sendable(index, 1000) and not ivf.sendable(ivf.build(lib, flat_below=100))

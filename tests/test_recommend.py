@@ -7,6 +7,7 @@ import re
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from cadenza.operators import ivf, ranking, recommending
 from cadenza.plans import canonical as c, recommend
@@ -106,3 +107,38 @@ def test_of_settled_users_only_their_list_is_written(spark, monkeypatch):
     made = recommending.merge_in_turn(strong, lambda open_: {"popular": weak}, 0.3, users, users.selectExpr("user_id", "'t99' AS track_id"), 10)
     assert made.count() == 20
     assert {r.user_id: r["count"] for r in kept["strong-candidates"].groupBy("user_id").count().collect()} == {"u1": 10, "u2": 30}
+
+
+def test_vectors_stay_where_they_are(spark, monkeypatch):
+    """What a history says of candidates is the same where all vectors are sent to the tasks; then only ids are shuffled."""
+    i, v = c.interactions(spark, SF).cache(), c.track_vectors(spark, SF).cache()
+    asked = recommend.content(i, v).select("user_id", "track_id", F.lit(0.5).alias("base")).cache()
+    rows = lambda df: sorted(tuple(round(x, 8) if isinstance(x, float) else x for x in r) for r in df.collect())
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    near, sure = recommend.evidence(i, v), recommend.sure(asked, i, v)
+    got = rows(near), rows(sure)
+    assert "CoGroup" not in plan(sure) and not any("#" in x and " b#" in x for x in plan(near).splitlines())
+    monkeypatch.setattr(recommend.vectors, "held", lambda *_: None)
+    assert "CoGroup" in plan(recommend.sure(asked, i, v)) and (rows(recommend.evidence(i, v)), rows(recommend.sure(asked, i, v))) == got
+
+
+def test_held_vectors_are_all_alike(spark):
+    from cadenza.operators import vectors
+
+    fine = [("a", [3.0, 4.0]), ("b", [0.0, 2.0])]
+    of = lambda more, most=1000: vectors.held(spark.createDataFrame([*fine, *more], "track_id string, v array<double>"), "v", most)
+    ids, x = of([])
+    assert sorted(zip(ids, x.tolist(), strict=True)) == [("a", [0.6, 0.8]), ("b", [0.0, 1.0])]
+    for odd in (("a", [1.0, 1.0]), (None, [1.0, 1.0]), ("c", None), ("c", [1.0]), ("c", [None, 1.0]), ("c", [0.0, 0.0]), ("c", [float("nan"), 1.0])):
+        assert of([odd]) is None
+    assert of([], 31) is None
+
+
+def test_candidates_are_dealt_once(spark):
+    """One shuffle serves bans, first sources and places; a ban without a user or track bans nothing."""
+    rows = spark.createDataFrame([("u1", "a", 0.5), ("u1", "b", 0.4), ("u2", "a", 0.3), (None, "a", 0.2)], "user_id string, track_id string, score double")
+    out = spark.createDataFrame([("u1", "a"), ("u1", "a"), ("u3", "a"), (None, "a"), ("u2", None)], "user_id string, track_id string")
+    made = recommending.merge({"content": rows, "external": rows.withColumn("score", F.lit(2.0))}, out, 5)
+    assert sorted(((r.user_id, r.track_id, r.source, r.score, r.place) for r in made.collect()), key=str) == sorted([("u1", "b", "content", 0.4, 1), ("u2", "a", "content", 0.3, 1), (None, "a", "content", 0.2, 1)], key=str)
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression") == 1
+    assert made._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange") == 1
