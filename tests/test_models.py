@@ -76,6 +76,36 @@ def test_factorised_recommendations(spark):
     assert len(similar) == 10 and all(-1 - 1e-6 <= r.score <= 1 + 1e-6 and r.item != 7 for r in similar)
 
 
+def test_factorised_recommendations_of_every_user(spark, monkeypatch):
+    """Each user has the ten best by the model's factors among all tracks that the user has not played."""
+    from pyspark.ml.recommendation import ALS
+
+    made, fit = [], ALS.fit
+    monkeypatch.setattr(ALS, "fit", lambda self, df: made.append(fit(self.setMaxIter(2), df)) or made[0])
+    got: dict = {}
+    for r in sorted(rows(spark, "M01_implicit_als"), key=lambda r: (r.user, -r.score, r.item)):
+        got.setdefault(r.user, []).append((r.item, r.score))
+    users, items = ({r.id: np.array(r.features, np.float32) for r in x.collect()} for x in (made[0].userFactors, made[0].itemFactors))
+    played = {(int(r.user_id[1:]), int(r.track_id[1:])) for r in canonical.interactions(spark, SF).select("user_id", "track_id").collect()}
+    assert got.keys() == users.keys() == {u for u, _ in played} and len(users) > 50
+    for user, d in users.items():
+        score = {i: float(d @ u) for i, u in items.items() if (user, i) not in played}
+        best = sorted(score.values(), reverse=True)[:10]
+        assert len(got[user]) == len({i for i, _ in got[user]}) == len(best) and all(abs(score[i] - s) < 1e-4 and abs(s - b) < 1e-4 for (i, s), b in zip(got[user], best, strict=True))
+
+
+def test_best_others_in_blocks(spark):
+    """Blocks of users and items change nothing; who has played nearly all gets what is left, equal scores go by item."""
+    from cadenza.operators import vectors
+
+    items = spark.createDataFrame([(i, [float(i % 5), 1.0]) for i in range(40)], "item int, u array<float>")
+    heard = {1: [], 2: list(range(1, 40)), 3: list(range(0, 40, 2)), 4: [99, 4], 5: list(range(40))}
+    asked = spark.createDataFrame([(u, [1.0, 0.5], p) for u, p in heard.items()], "user int, d array<float>, played array<int>")
+    want = sorted((u, i) for u, p in heard.items() for i in sorted(set(range(40)) - set(p), key=lambda i: (-(i % 5), i))[:10])
+    for sizes in ((100, 100), (7, 2)):
+        assert sorted((r.user, r.item) for r in vectors.best_others(asked, items, 10, *sizes).collect()) == want
+
+
 def test_no_runs_of_an_artist(spark):
     """A third of an artist in a row stands only where no other artist was left."""
     artist = {r.track_id: r.artist for r in canonical.track_features(spark, SF).select("track_id", "artist").collect()}
