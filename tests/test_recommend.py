@@ -142,3 +142,11 @@ def test_candidates_are_dealt_once(spark):
     assert sorted(((r.user_id, r.track_id, r.source, r.score, r.place) for r in made.collect()), key=str) == sorted([("u1", "b", "content", 0.4, 1), ("u2", "a", "content", 0.3, 1), (None, "a", "content", 0.2, 1)], key=str)
     assert made._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression") == 1
     assert made._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange") == 1
+
+
+def test_lists_are_shuffled_without_places(spark):
+    """What an edge's score is rounded to is made after the shuffle by user."""
+    i, x = c.interactions(spark, SF), c.similar_edges(spark, SF)
+    plan = recommend.related(i, x)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    at = next(k for k, line in enumerate(plan) if "RepartitionByExpression [user_id" in line)
+    assert any("place" in line for line in plan[:at]) and not any("place" in line for line in plan[at:])
